@@ -26,10 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Words as in the operator: lists of an empty text are emptied first.
 _OP2 = r"""
 with recursive words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 sets as (
-  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) end as s
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
   from words),
 items as (select doc_id, len(s) as n, unnest(s) as g from sets),
 shared as (
