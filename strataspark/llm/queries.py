@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import importable
+from . import decontam, mixing, quality, sharding
 from .near_dedup import NearDuplicates
 
 
@@ -19,8 +21,41 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(words=2, percent=80).run(_read(spark, sf_dir, "documents"))
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards whose row counts are at most one apart, uniformly shuffled.
+
+    The method shuffles rows one by one, so its law is ``rows`` and equal texts aren't kept together.
+    """
+    docs = _read(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.shard_rows(own, 16, seed=5)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factorisation machine scores of all documents."""
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"))
+    scores = quality.score(docs, model)
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy drawn when sources are mixed to the square root of their masses, in shuffled order."""
+    docs = _read(spark, sf_dir, "documents")
+    out = mixing.mix_sources(docs, alpha=0.5, seed=8, with_copy=True)
+    return out.select("doc_id", "source", F.round("rate", 6).alias("rate"), F.col("copy").cast("long").alias("copy"), "shuffle_key")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document leaks within 15 per cent of word edits."""
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), rate=0.15, recall=0.99)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_duplicates": op2_near_duplicates}
+    found = (op2_near_duplicates, op5_shards, op7_quality, op8_mix_sources, op9_decontamination)
+    return {f.__name__: f for f in found}
 
 
 #: Words as in the operator: lists of an empty text are emptied first.
@@ -48,5 +83,26 @@ from sets s left join comp c on c.node = s.doc_id
 """
 
 
+_OP8 = r"""
+with recursive masses as (
+  select source, sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint as mass from documents group by source),
+rates as (
+  select source, sum(mass) over () * pow(mass::double, 0.5) / (sum(pow(mass::double, 0.5)) over () * mass) as rate from masses),
+parts as (select source, rate, greatest(1, ceil(rate / 256))::int as parts from rates),
+cdf(source, rate, parts, k, last, term, f) as (
+  select source, rate, parts, 0, ceil(rate / parts + 12 * sqrt(rate / parts) + 40)::int, exp(-rate / parts), exp(-rate / parts) from parts
+  union all
+  select source, rate, parts, k + 1, last, term * (rate / parts) / (k + 1), f + term * (rate / parts) / (k + 1) from cdf where k < last),
+lists as (select source, any_value(rate) as rate, any_value(parts) as parts, list(f order by k) as cdf from cdf group by source),
+draws as (
+  select d.doc_id, d.source, l.rate,
+    list_sum(list_transform(range(1, l.parts + 1), lambda i: len(list_filter(l.cdf, lambda c: c <= cast('0x' || substr(md5('draw8|' || coalesce(d.doc_id::varchar, 'null') || '|' || i), 1, 13) as bigint) / 4503599627370496.0))))::bigint as n
+  from documents d join lists l on d.source is not distinct from l.source),
+copies as (select doc_id, source, rate, unnest(range(1, n + 1)) as copy from draws)
+select doc_id, source, round(rate, 6) as rate, copy, cast('0x' || substr(md5('order8|' || coalesce(doc_id::varchar, 'null') || '|' || copy), 1, 13) as bigint) as shuffle_key
+from copies
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": _OP2}
+    return {"op2_near_duplicates": _OP2, "op8_mix_sources": _OP8}
