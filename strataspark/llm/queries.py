@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import importable
-from . import decontam, mixing, quality, sharding
+from . import decontam, mixing, quality, sharding, substring_dedup
 from .near_dedup import NearDuplicates
 
 
@@ -21,6 +21,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(words=2, percent=80).run(_read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 20-word windows that started earlier, in two batches."""
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), batches=2, digest=True)
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards whose row counts are at most one apart, uniformly shuffled.
 
@@ -54,7 +59,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_near_duplicates, op5_shards, op7_quality, op8_mix_sources, op9_decontamination)
+    found = (op2_near_duplicates, op4_substring_dedup, op5_shards, op7_quality, op8_mix_sources, op9_decontamination)
     return {f.__name__: f for f in found}
 
 
@@ -83,6 +88,22 @@ from sets s left join comp c on c.node = s.doc_id
 """
 
 
+_OP4 = r"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+windows as (
+  select doc_id, i as start, array_to_string(w[i + 1 : i + 20], ' ') as seq from (select doc_id, w, unnest(range(0, len(w) - 19)) as i from words)),
+ranked as (
+  select doc_id, start, min((doc_id, start)) over (partition by seq) as first from windows),
+covered as (
+  select distinct doc_id, unnest(range(start, start + 20)) as p from ranked where (doc_id, start) > first),
+gone as (select doc_id, list(p) as ps from covered group by doc_id),
+kept as (
+  select w.doc_id, len(w.w) as n, coalesce(len(g.ps), 0) as r,
+    case when g.ps is null then w.w else (select list(x.v order by x.p) from (select unnest(w.w) as v, unnest(range(0, len(w.w))) as p) x where not list_contains(g.ps, x.p)) end as k
+  from words w left join gone g on w.doc_id = g.doc_id)
+select doc_id, n::bigint as n_words, r::bigint as n_removed, sha256(coalesce(array_to_string(k, ' '), '')) as kept_sha256 from kept
+"""
 _OP8 = r"""
 with recursive masses as (
   select source, sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint as mass from documents group by source),
@@ -105,4 +126,4 @@ from copies
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": _OP2, "op8_mix_sources": _OP8}
+    return {"op2_near_duplicates": _OP2, "op4_substring_dedup": _OP4, "op8_mix_sources": _OP8}
