@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import importable
-from . import decontam, mixing, quality, sharding, substring_dedup
+from . import decontam, html_text, license_scan, mixing, quality, sharding, substring_dedup
 from .near_dedup import NearDuplicates
 
 
@@ -16,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on two-word shingles at 80 per cent."""
     return NearDuplicates(words=2, percent=80).run(_read(spark, sf_dir, "documents"))
@@ -38,6 +43,11 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_text.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factorisation machine scores of all documents."""
     docs = _read(spark, sf_dir, "documents")
@@ -59,10 +69,45 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_near_duplicates, op4_substring_dedup, op5_shards, op7_quality, op8_mix_sources, op9_decontamination)
+    found = (op1_license_scan, op2_near_duplicates, op4_substring_dedup, op5_shards, op6_html_text, op7_quality, op8_mix_sources, op9_decontamination)
     return {f.__name__: f for f in found}
 
 
+def _op1() -> str:
+    """All blocks against all templates, without the operator's filters."""
+    rows = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+with words as (
+  select row_number() over () as id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+templates(t, label, tw) as (values {rows}),
+blocks as (select id, list_distinct(w[s + 1 : s + {license_scan.BLOCK}]) as b from (select id, w, unnest(range(0, greatest(len(w) - {license_scan.STRIDE}, 1), {license_scan.STRIDE})) as s from words)),
+shares as (
+  select id, label, max(len(list_intersect(b, tw)) / len(list_distinct(tw))::double) as share
+  from blocks, templates where len(list_intersect(b, tw)) >= ceil({license_scan.THETA} * len(list_distinct(tw)) - 1e-9) group by id, label),
+places as (
+  select id, i, case when w[i + 1] = 'mit' then 'mit' when w[i + 1] = 'apache' then 'apache' else 'gpl' end as label
+  from (select id, w, unnest(range(0, len(w))) as i from words)
+  where (w[i + 1] in ('mit', 'apache') and w[i + 2] = 'license') or (w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license')),
+base as (select id, count(*) as n, min(i) as lo, max(i) as hi, list(distinct label) as labels from places group by id),
+found as (select id, list(distinct label) as labels, max(share) as share from shares group by id)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.lo::bigint as first_word, b.hi::bigint as last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') as labels,
+  case when b.n > 0 then 1.0::double else coalesce(f.share, 0.0)::double end as score
+from words w left join base b on w.id = b.id left join found f on w.id = f.id
+"""
+
+
+_OP6 = r"""
+with blocks as (
+  select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') as raw from pages),
+texts as (
+  select page_id, url, list_filter(list_transform(raw, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(
+    regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as bs
+  from blocks)
+select page_id, url, array_to_string(bs, chr(10)) as text, length(array_to_string(bs, chr(10)))::bigint as n_chars from texts
+"""
 #: Words as in the operator: lists of an empty text are emptied first.
 _OP2 = r"""
 with recursive words as (
@@ -126,4 +171,4 @@ from copies
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": _OP2, "op4_substring_dedup": _OP4, "op8_mix_sources": _OP8}
+    return {"op1_license_scan": _op1(), "op6_html_text": _OP6, "op2_near_duplicates": _OP2, "op4_substring_dedup": _OP4, "op8_mix_sources": _OP8}
