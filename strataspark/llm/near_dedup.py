@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
+from .sieve import Sieve
 from .storage import Workspace
 
 _U = np.uint64
@@ -31,7 +32,7 @@ _U = np.uint64
 BASE, RATE, TOP = 1.1, 20.0, 254
 REGISTERS = 128
 #: Registers of a band and number of bands; a register serves in several bands.
-ROWS, BANDS = 6, 64
+ROWS, BANDS = 6, 48
 #: Candidates whose estimate lies more than this below the threshold are dropped (over 5 sigma).
 MARGIN = 0.2
 #: Up to this size all pairs of a bucket that holds several components are looked at.
@@ -137,37 +138,44 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _band_rows(batches):
-    bands = _bands(ROWS, BANDS, REGISTERS)
-    tags = tk.stream(0xBA2D, BANDS)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
-            regs = _matrix(part.column("regs")).astype(_U)
-            h = np.broadcast_to(tags, (len(regs), BANDS)).copy()
-            for r in range(ROWS):
-                h = tk.mix((h + regs[:, bands[:, r]]) * _U(0x9FB21C651E98DF25))
-            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(ids, pa.int64())], names=["h", "doc_id"])
+def _band_rows(shared: Sieve | None = None):
+    """(h, doc_id) for each band, of those in ``shared`` if given."""
 
+    def run(batches):
+        bands = _bands(ROWS, BANDS, REGISTERS)
+        tags = tk.stream(0xBA2D, BANDS)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                regs = _matrix(part.column("regs")).astype(_U)
+                h = np.broadcast_to(tags, (len(regs), BANDS)).copy()
+                for r in range(ROWS):
+                    h = tk.mix((h + regs[:, bands[:, r]]) * _U(0x9FB21C651E98DF25))
+                h, ids = h.reshape(-1), np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), BANDS)
+                if shared is not None:
+                    hit = shared.hits(h)
+                    h, ids = h[hit], ids[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids, pa.int64())], names=["h", "doc_id"])
+
+    return run
 
-def _likely(least: float, keep: list[str]):
+
+def _likely(least: float):
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 na, nb = (part.column(x).to_numpy().astype(np.float64) for x in ("na", "nb"))
                 j = estimate(_matrix(part.column("ra")), _matrix(part.column("rb")), na, nb)
-                yield part.select(keep).filter(pa.array(j >= least))
+                yield part.select(["a", "b"]).filter(pa.array(j >= least))
 
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, wanted: Sieve):
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.hits(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(_U))))
             for lo, hi, values, ptr in shingle_sets(batch.column("text"), words):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), tk.arrow_lists(values.view(np.int64), ptr, pa.int64())], names=["doc_id", "shingles"]
@@ -213,52 +221,42 @@ class NearDuplicates:
 
     def _links(self, docs: DataFrame, reps: DataFrame, ws: Workspace) -> DataFrame:
         """Verified links (a < b) between representatives that join all their components."""
-        rows = reps.mapInArrow(_band_rows, "h long, doc_id long")
+        schema = "h long, doc_id long"
+        rows = reps.mapInArrow(_band_rows(), schema)
         buckets = rows.groupBy("h").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.count("*").alias("n")).where("p <> q")
-        shared = ws.table(rows.join(buckets.select("h", "n"), "h"), "buckets")
+        buckets = ws.table(buckets.select("h", "n"), "buckets")
+        shared = reps.mapInArrow(_band_rows(Sieve(buckets.select("h"))), schema)
+        shared = ws.table(shared.join(buckets, "h"), "shared")
+        ids = ws.table(shared.select("doc_id").distinct(), "ids")
+        texts = docs.where("doc_id is not null")
+        sets = ws.table(texts.mapInArrow(_sets(self.words, Sieve(ids)), "doc_id long, shingles array<long>"), "sets")
         # what shares many large buckets is central to its group and links to most of it
         weights = shared.groupBy("doc_id").agg(F.sum("n").alias("w"))
         rank = F.struct("w", (-F.col("doc_id")).alias("i"))
         pivots = shared.join(weights, "doc_id").groupBy("h").agg(F.max(rank).alias("top"))
-        star = shared.join(pivots, "h").select((-F.col("top.i")).alias("a"), F.col("doc_id").alias("b"), "top.w").where("a <> b").distinct()
-        star = ws.table(self._candidates(star, reps, "w"), "star")
-        best = star.groupBy("b").agg(F.max(F.struct("w", "a")).alias("top")).select("top.a", "b")
-        edges = ws.table(self._verify(best, docs, ws), "links")
-        comps = components(edges, ws)
-        rest = self._between(star, comps)
-        edges = ws.table(edges.union(self._verify(ws.table(rest, "rest"), docs, ws)), "links")
+        star = shared.join(pivots, "h").select((-F.col("top.i")).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+        star = ws.table(self._candidates(star, reps), "star")
+        edges = ws.table(self._verify(star, sets), "links")
         comps = components(edges, ws)
-        strays = self._candidates(self._strays(docs, shared, comps, ws), reps)
-        return edges.union(self._verify(ws.table(strays, "strays"), docs, ws))
+        strays = ws.table(self._candidates(self._strays(sets, shared, comps, ws), reps), "strays")
+        return edges.union(self._verify(strays, sets))
 
-    def _candidates(self, pairs: DataFrame, reps: DataFrame, *also: str) -> DataFrame:
+    def _candidates(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes allow the threshold and whose estimate is not clearly below it."""
         a = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
         b = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
         near = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        keep = ["a", "b", *also]
-        return near.select(*keep, "na", "nb", "ra", "rb").mapInArrow(_likely(self.percent / 100 - MARGIN, keep), ", ".join(f"{x} long" for x in keep))
-
-    def _verify(self, pairs: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
-        """The pairs linked on their full sets."""
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = docs.join(ids, "doc_id", "left_semi")
-        sets = ws.table(texts.mapInArrow(_sets(self.words), "doc_id long, shingles array<long>"), "sets")
+        return near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(self.percent / 100 - MARGIN), "a long, b long").distinct()
+
+    def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs linked on their full sets; merge joins, which split hot keys, at every size."""
         b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         inter = F.size(F.array_intersect("sa", "sb"))
         linked = 100 * inter >= self.percent * (F.size("sa") + F.size("sb") - inter)
-        return pairs.join(b, "b").join(a, "a").where(linked).select("a", "b")
-
-    @staticmethod
-    def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        cb = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        joined = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        return pairs.hint("merge").join(b, "b").hint("merge").join(a, "a").where(linked).select("a", "b")
 
-    def _strays(self, docs: DataFrame, shared: DataFrame, comps: DataFrame, ws: Workspace) -> DataFrame:
+    def _strays(self, sets: DataFrame, shared: DataFrame, comps: DataFrame, ws: Workspace) -> DataFrame:
         """Pairs between components in buckets of several components that may still be linked.
 
         In small buckets documents outside the main component meet all the others. Documents of
@@ -274,10 +272,10 @@ class NearDuplicates:
         y = few.select("h", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "main")
         pairs = x.join(y, "h").where("cx <> cy and (cy = main or x < y)").select("x", "y")
         many = rows.where(F.col("n") > SMALL_BUCKET).groupBy("doc_id").agg(F.max(F.col("c") != F.col("main")).alias("stray"), F.first("c").alias("c"))
-        pairs = pairs.union(self._rare(docs, ws.table(many, "many"), ws))
+        pairs = pairs.union(self._rare(sets, ws.table(many, "many"), ws))
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def _rare(self, docs: DataFrame, many: DataFrame, ws: Workspace) -> DataFrame:
+    def _rare(self, sets: DataFrame, many: DataFrame, ws: Workspace) -> DataFrame:
         """Prefix-filter join of ``many(doc_id, stray, c)``: pairs of different components, one a stray.
 
         Shingles are ordered from rare to common. A linked pair's first common shingle is so early
@@ -285,9 +283,8 @@ class NearDuplicates:
         1 + (100 - p) / (100 + p) of it, the larger one's 1 + (100 - p) / 100.
         """
         p = self.percent
-        texts = docs.join(many, "doc_id").select("doc_id", "text")
-        sets = ws.table(texts.mapInArrow(_sets(self.words), "doc_id long, shingles array<long>"), "sets")
-        each = sets.select("doc_id", F.xxhash64("shingles").alias("key"), F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+        own = sets.join(many.select("doc_id"), "doc_id", "left_semi")
+        each = own.select("doc_id", F.xxhash64("shingles").alias("key"), F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
         df = each.groupBy("g").agg(F.count("*").alias("df"))
         ordered = each.join(df, "g").groupBy("doc_id", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
         length = F.floor((100 - p) * F.col("n") / 100).cast("int") + 1

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
@@ -30,9 +32,16 @@ class Workspace:
         return f"{self.root}/{self._n:03d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table (executor loss then costs a reread only)."""
-        path = self.path(name)
-        df.write.parquet(path)
+        """Write ``df`` and return the written table (executor loss then costs a reread only).
+
+        The shuffle files of the write are removed with its end; nothing reads them afterwards.
+        """
+        path, before = self.path(name), self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.workspace_path = path
         return out
