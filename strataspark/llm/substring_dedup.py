@@ -22,13 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .sieve import Sieve
 from .storage import Workspace
 
 _U = np.uint64
 WINDOW, GRAM = 20, 6
 MAX_RUNS = 4
-#: Bits of the bitmap: eight a fingerprint within these bounds (64 MB at most).
-LEAST_BITS, MOST_BITS = 20, 29
 
 
 class _Roll:
@@ -99,21 +98,20 @@ def _fingerprints(batches):
                 )
 
 
-def _windows(state, bits: int):
+def _windows(again: Sieve):
     def run(batches):
         texts = _Texts()
-        seen = np.frombuffer(state.value, np.uint8)
-        mask = _U((1 << bits) - 1)
         for batch in batches:
             for lo, _, data, offsets in tk.document_groups(batch.column("text")):
                 words, starts, at, grams = texts.anchors(data, offsets)
-                slot = (grams[at] & mask).astype(np.int64)
-                hit = (seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-                starts = starts[hit.astype(bool)]
+                starts = starts[again.hits(grams[at])]
                 if len(starts):
                     doc = np.searchsorted(words.ptr, starts, "right") - 1
                     rows = pa.array(doc + lo)
                     h1, h2 = texts.hashes(data, offsets, words, starts)
+                    order = np.lexsort((starts, h2, h1, doc))
+                    same = np.zeros(len(order), bool)
+                    same[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(h1.view(np.int64)),
@@ -122,8 +120,9 @@ def _windows(state, bits: int):
                             batch.column("fp").take(rows),
                             pa.array((starts - words.ptr[doc]).astype(np.int32)),
                             batch.column("fresh").take(rows),
+                            pa.array(same),
                         ],
-                        names=["h1", "h2", "doc_id", "fp", "start", "fresh"],
+                        names=["h1", "h2", "doc_id", "fp", "start", "fresh", "again"],
                     )
 
     return run
@@ -168,8 +167,8 @@ class FingerprintIndex:
 
     Batches must come in the order of their ids: what starts earlier is kept, in an earlier batch,
     a smaller id, or earlier in the same document. Rows of a null id keep all their words and make
-    none go; texts with fewer words than a window keep all. Rows that repeat id and text are
-    the same document; neither of them starts earlier.
+    none go; texts with fewer words than a window keep all. Rows that repeat an id are the same
+    document, of which none starts earlier; what repeats within one of their texts goes.
     """
 
     def __init__(self, spark: SparkSession):
@@ -181,16 +180,17 @@ class FingerprintIndex:
         """(doc_id, fp, starts): the windows of ``docs(doc_id, fp, text)`` that started earlier."""
         docs = docs.where("doc_id is not null")
         run = self.ws.table(docs.mapInArrow(_fingerprints, "g long, doc_id long, pos int").sortWithinPartitions("g"), "run")
-        state, bits = self._again(run)
         archive = docs.withColumn("fresh", F.lit(True))
         if self.texts is not None:
             archive = archive.union(self.texts.withColumn("fresh", F.lit(False)))
-        found = archive.select("doc_id", "fp", "text", "fresh").mapInArrow(_windows(state, bits), "h1 long, h2 long, doc_id long, fp long, start int, fresh boolean")
+        found = archive.select("doc_id", "fp", "text", "fresh").mapInArrow(_windows(self._again(run)), "h1 long, h2 long, doc_id long, fp long, start int, fresh boolean, again boolean")
         found = self.ws.table(found, "windows")
-        place = F.struct("doc_id", "start")
-        first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-        again = found.where("fresh").join(first, ["h1", "h2"]).where(place > F.col("first"))
-        removed = self.ws.table(again.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("start")).alias("starts")), "removed")
+        shared = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        fresh = found.where("fresh").select("h1", "h2", "doc_id", "fp", "start", "again")
+        later = fresh.where("not again").join(shared.select("h1", "h2", "first").hint("merge"), ["h1", "h2"]).where("doc_id > first")
+        # what comes again within a document goes with it or without
+        later = later.select("doc_id", "fp", "start").union(fresh.where("again").select("doc_id", "fp", "start"))
+        removed = self.ws.table(later.groupBy("doc_id", "fp").agg(F.collect_set("start").alias("starts")), "removed")
         self.ws.drop(found)
         self.runs.append(run)
         self.texts = docs if self.texts is None else self.texts.union(docs)
@@ -207,8 +207,8 @@ class FingerprintIndex:
         self.runs = [self.ws.table(merged.repartition(parts, F.col("g"), F.col("doc_id")).sortWithinPartitions("g"), "compacted")]
         self.ws.drop(*old)
 
-    def _again(self, run: DataFrame):
-        """Broadcast bitmap of the run's fingerprints that it has twice or that an older run has."""
+    def _again(self, run: DataFrame) -> Sieve:
+        """The run's fingerprints that it has twice or that an older run has."""
         counts = run.groupBy("g").agg(F.count("*").alias("n"))
         again = counts.where("n > 1").select("g")
         if self.runs:
@@ -217,16 +217,7 @@ class FingerprintIndex:
                 old = old.union(other.select("g"))
             old = old.distinct().withColumn("old", F.lit(True))
             again = counts.join(old.hint("merge"), "g", "left").where("n > 1 or old").select("g")
-        again = self.ws.table(again, "again")
-        count = again.count()
-        bits = min(max((8 * count).bit_length(), LEAST_BITS), MOST_BITS)
-        place = F.col("g").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # bucket b holds values from (b - 1) * 32768 + 1
-        maps = again.select(place.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m"))
-        out = bytearray(1 << (bits - 3))
-        for r in maps.toLocalIterator():  # 2^MOST_BITS bits at most, in rows of 4 kB
-            out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
-        self.ws.drop(again)
-        return self.spark.sparkContext.broadcast(bytes(out)), bits
+        return Sieve(self.ws.table(again, "again"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
