@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .storage import Workspace
 
-K = 32
+K = 40
 TREES, CELL, SAMPLE, MOST_LEAVES = 10, 256, 8192, 2048
-ROUNDS, MEMBERS = 3, 20
-SEARCH_ROUNDS, EXPANDED, BEAM, RESCORED = 6, 12, 160, 80
+ROUNDS, MEMBERS = 4, 32
+SEARCH_ROUNDS, EXPANDED, BEAM, RESCORED = 12, 24, 320, 60
 
 _LISTS = "id long, ids array<long>, scores array<float>"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import importable
-from . import decontam, html_text, license_scan, mixing, pii, quality, sharding, substring_dedup
+from . import ann, decontam, html_text, license_scan, mixing, pii, quality, sharding, substring_dedup
 from .near_dedup import NearDuplicates
 
 
@@ -77,8 +77,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), rate=0.15, recall=0.99)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose id is divisible by 20."""
+    embeddings = _read(spark, sf_dir, "embeddings")
+    return ann.NeighbourGraph(embeddings, k=20).search(embeddings.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_near_duplicates, op3_pii_surrogates, op4_substring_dedup, op5_shards, op6_html_text, op7_quality, op8_mix_sources, op9_decontamination)
+    found = (op1_license_scan, op2_near_duplicates, op3_pii_surrogates, op4_substring_dedup, op5_shards, op6_html_text, op7_quality, op8_mix_sources, op9_decontamination, op10_neighbours)
     return {f.__name__: f for f in found}
 
 
