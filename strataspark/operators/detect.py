@@ -15,7 +15,7 @@ def scan_type(points: DataFrame, sample: int = 100_000) -> DataFrame:
     intensity = "intensity" in points.columns
     bright = (F.col("red") + F.col("green") + F.col("blue")) / 3.0 if rgb else F.lit(None).cast("double")
     level = F.col("intensity").cast("double") if intensity else F.lit(None).cast("double")
-    stats = own.agg(F.count("*").alias("n"), F.countDistinct(level).alias("distinct_intensities"), F.stddev_pop(level).alias("intensity_std"), F.corr(level, bright).alias("rgb_corr"))
+    stats = own.agg(F.count("*").alias("n"), F.countDistinct(level).alias("distinct_intensities"), F.stddev_pop(level).alias("intensity_std"), F.try_divide(F.covar_pop(level, bright), F.stddev_pop(level) * F.stddev_pop(bright)).alias("rgb_corr"))
     n, distinct, std, corr = (F.col(c) for c in ("n", "distinct_intensities", "intensity_std", "rgb_corr"))
     kind = (
         F.when(n == 0, "unknown")
