@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .graph import components
+from ..operators.components import components
 from .sieve import Sieve
-from .storage import Workspace
+from ..storage import Workspace
 
 _U = np.uint64
 #: SetSketch parameters: base and rate of the exponential spacing, largest register value.
