@@ -25,12 +25,18 @@ select point_id, xi, yi, zi, intensity, red, green, blue, nir, classification, s
 from (select row_number() over (order by {", ".join(_ORDER)}) as point_id, {_COLUMNS} from ({_PLACED.format(source="lineitem")}) b) p)"""
 
 
-def with_row_ids(frame: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
-    """Dense ids from 1 in ``order``: ranges are numbered each for themselves, after the sum of those before."""
-    ranged = frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+def with_row_ids(frame: DataFrame, order: tuple[str, ...], name: str, parts: int = 64) -> DataFrame:
+    """Dense ids from 1 in ``order``, whose first column is a number.
+
+    Ranges of that column, cut at quantiles, are numbered each for themselves, after the rows of
+    those before; no task sees more than a range.
+    """
+    first = F.col(order[0])
+    cuts = frame.select(F.percentile_approx(first, [i / parts for i in range(1, parts)]).alias("q")).first().q or []
+    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
+    ranged = frame.withColumn("_part", F.size(F.filter(bounds, lambda b: b < first)) if cuts else F.lit(0))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy("_part").orderBy(*order)
     numbered = ranged.withColumn("_row", F.row_number().over(local)).join(F.broadcast(offsets), "_part")
     return numbered.withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")

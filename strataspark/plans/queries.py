@@ -27,7 +27,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _micro(column: str) -> Column:
-    return F.round(F.col(column), 6) + 0.0  # no negative zero
+    return F.round(F.col(column), 9) + 0.0  # no negative zero
 
 
 def _z(frame: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def nz_nearest(spark, sf_dir):
 
 
 def nz_bilinear(spark, sf_dir):
-    pts, boxes, _, grid = _filled(spark, sf_dir, extra=2, how="mean")
+    pts, boxes, _, grid = _filled(spark, sf_dir, extra=2)
     return _nz(raster.nz_bilinear(pts, grid, boxes, KEYS, CELL))
 
 
@@ -166,7 +166,7 @@ def bird_clusters(spark, sf_dir):
     found = ws.table(found, "candidates")
     members = ws.table(cluster.dbscan(found, KEYS, 0.30, 8, ws), "members")
     table = cluster.cluster_table(found, members.select("point_id", "cluster", *KEYS), KEYS, 0.005, 1.0)
-    rounded = [F.round(c, 4).alias(c) for c in ("x_centroid", "y_centroid", "z_centroid", "nz_mean", "footprint_m2")]
+    rounded = [F.round(c, 9).alias(c) for c in ("x_centroid", "y_centroid", "z_centroid", "nz_mean", "footprint_m2")]
     return table.select(*KEYS, "cluster_id", "point_count", *rounded)
 
 
@@ -375,19 +375,19 @@ def _veg_sql(index: str) -> str:
 
 
 _SQL = {
-    "grid_min_raster": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, round(min(z), 6) + 0 z from cells group by te, tn, r, c",
-    "grid_mean_raster": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, round(avg(z), 6) + 0 z from cells group by te, tn, r, c",
-    "voxel_thin_lowest": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, arg_min(point_id, (z, point_id)) point_id, round(min(z), 6) + 0 z, round(max(z), 6) + 0 max_z from cells group by te, tn, r, c",
+    "grid_min_raster": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, round(min(z), 9) + 0 z from cells group by te, tn, r, c",
+    "grid_mean_raster": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, round(avg(z), 9) + 0 z from cells group by te, tn, r, c",
+    "voxel_thin_lowest": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, arg_min(point_id, (z, point_id)) point_id, round(min(z), 9) + 0 z, round(max(z), 9) + 0 max_z from cells group by te, tn, r, c",
     "wall_filter_cells": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, arg_min(point_id, (z, point_id)) point_id from cells group by te, tn, r, c having max(z) - min(z) < 0.5e0",
-    "nearest_fill": f"{_FILLED} select {_T}, r, c, round(z, 6) + 0 z from filled",
-    "focal_opening": f"{_FILLED},\n{_opened(2)} select {_T}, r, c, round(z, 6) + 0 z from surface",
+    "nearest_fill": f"{_FILLED} select {_T}, r, c, round(z, 9) + 0 z from filled",
+    "focal_opening": f"{_FILLED},\n{_opened(2)} select {_T}, r, c, round(z, 9) + 0 z from surface",
     "median_smooth": f"""{_FILLED}, sizes as (select te, tn, max(r) mr, max(c) mc from filled group by te, tn),
 asked as (select f.te, f.tn, f.r, f.c, greatest(least(f.r + i.i, mr), 0) sr, greatest(least(f.c + j.j, mc), 0) sc from filled f join sizes using (te, tn), (select unnest(range(-3, 4)) i) i, (select unnest(range(-3, 4)) j) j)
-select a.te as tile_e, a.tn as tile_n, a.r, a.c, round(median(s.z), 6) + 0 z from asked a join filled s on a.te = s.te and a.tn = s.tn and a.sr = s.r and a.sc = s.c group by a.te, a.tn, a.r, a.c""",
-    "nz_nearest": f"{_FILLED} select point_id, round(p.z - s.z, 6) + 0 nz from cells p join filled s using (te, tn, r, c)",
-    "nz_bilinear": f"""with {_PTS},\n{_BOX},\n{_cells(2)},\n{_raster("avg", 2)},
+select a.te as tile_e, a.tn as tile_n, a.r, a.c, round(median(s.z), 9) + 0 z from asked a join filled s on a.te = s.te and a.tn = s.tn and a.sr = s.r and a.sc = s.c group by a.te, a.tn, a.r, a.c""",
+    "nz_nearest": f"{_FILLED} select point_id, round(p.z - s.z, 9) + 0 nz from cells p join filled s using (te, tn, r, c)",
+    "nz_bilinear": f"""with {_PTS},\n{_BOX},\n{_cells(2)},\n{_raster("min", 2)},
 based as (select p.point_id, p.te, p.tn, p.z, (p.y - y0) / {CELL}e0 fy, (p.x - x0) / {CELL}e0 fx, greatest(least(floor((p.y - y0) / {CELL}e0), ceil((y1 - y0) / {CELL}e0)), 0)::int br, greatest(least(floor((p.x - x0) / {CELL}e0), ceil((x1 - x0) / {CELL}e0)), 0)::int bc from pts p join box using (te, tn))
-select b.point_id, round(b.z - ((a.z * (1 - (fx - bc)) + b1.z * (fx - bc)) * (1 - (fy - br)) + (c1.z * (1 - (fx - bc)) + d.z * (fx - bc)) * (fy - br)), 6) + 0 nz
+select b.point_id, round(b.z - ((a.z * (1 - (fx - bc)) + b1.z * (fx - bc)) * (1 - (fy - br)) + (c1.z * (1 - (fx - bc)) + d.z * (fx - bc)) * (fy - br)), 9) + 0 nz
 from based b join filled a on a.te = b.te and a.tn = b.tn and a.r = br and a.c = bc join filled b1 on b1.te = b.te and b1.tn = b.tn and b1.r = br and b1.c = bc + 1
 join filled c1 on c1.te = b.te and c1.tn = b.tn and c1.r = br + 1 and c1.c = bc join filled d on d.te = b.te and d.tn = b.tn and d.r = br + 1 and d.c = bc + 1""",
     "ground_grid_classify": f"{_HEIGHTS} select {_CASE} as class, count(*) n, round(sum(nz), 4) sum_nz from heights group by 1",
@@ -395,7 +395,7 @@ join filled c1 on c1.te = b.te and c1.tn = b.tn and c1.r = br + 1 and c1.c = bc
     "height_bands": f"{_HEIGHTS} select point_id, {_CASE} as class from heights",
     "ground_from_source_class": f"""with {_PTS},\n{_BOX},\n{_cells(2)},\n{_raster("avg", 2, "classification in (2, 8)")},
 heights as (select p.*, p.z - s.z as nz, classification in (2, 8) as ground from cells p join filled s using (te, tn, r, c))
-select point_id, round(nz, 6) + 0 nz, {_CASE} as class from heights""",
+select point_id, round(nz, 9) + 0 nz, {_CASE} as class from heights""",
     "model_keypoints": f"""with {_PTS}, own as (select * from pts where classification = 2), box as (select te, tn, min(x) x0, min(y) y0 from own group by te, tn)
 select arg_min(point_id, (z, point_id)) point_id, {_T} from own join box using (te, tn) group by te, tn, floor((y - y0) / 8.0e0), floor((x - x0) / 8.0e0)""",
     "class_summary": f"with {_PTS} select classification::int as class, count(*) n from pts group by 1",
@@ -403,7 +403,7 @@ select arg_min(point_id, (z, point_id)) point_id, {_T} from own join box using (
     "vari_mask": _veg_sql("vari"),
     "exg_mask": _veg_sql("exg"),
     "veg_auto": _veg_sql("auto"),
-    "bird_candidates": f"{_FOUND} select point_id, round(nz, 6) + 0 nz from found",
+    "bird_candidates": f"{_FOUND} select point_id, round(nz, 9) + 0 nz from found",
     "candidate_guard": f"{_GUARD} select {_T}, n_points, n_candidates, case when n_candidates < 8 then 'too few' when n_candidates / n_points > 0.05e0 then 'too many' else 'ok' end as status from guard",
     "tile_status": f"""{_GUARD} select {_T}, case when n_candidates < 8 or n_candidates / n_points > 0.02e0 then 'SKIPPED' else 'PROCESSED' end as status,
 case when n_candidates < 8 then 'too few' when n_candidates / n_points > 0.02e0 then 'too many' end as reason from guard""",
@@ -414,7 +414,7 @@ edges as (select a, b from pairs where a in (select id from core) and b in (sele
 reach(id, root) as (select a, b from edges union select r.id, e.b from reach r join edges e on r.root = e.a),
 comp as (select id, min(root) cluster from reach group by id),
 member as (select p.a id, min(c.cluster) cluster from pairs p join comp c on p.b = c.id group by p.a)
-select {_T}, cluster as cluster_id, count(*) point_count, round(avg(x), 4) x_centroid, round(avg(y), 4) y_centroid, round(avg(z), 4) z_centroid, round(avg(nz), 4) nz_mean, round((max(x) - min(x)) * (max(y) - min(y)), 4) footprint_m2
+select {_T}, cluster as cluster_id, count(*) point_count, round(avg(x), 9) x_centroid, round(avg(y), 9) y_centroid, round(avg(z), 9) z_centroid, round(avg(nz), 9) nz_mean, round((max(x) - min(x)) * (max(y) - min(y)), 9) footprint_m2
 from member join found on id = point_id group by te, tn, cluster having (max(x) - min(x)) * (max(y) - min(y)) between 0.005e0 and 1""",
     "voxel_downsample_2d": f"with {_PTS} select min(point_id) point_id from pts where intensity < 8192 group by te, tn, floor(x / 0.1e0), floor(y / 0.1e0)",
     "voxel_downsample_3d": f"with {_PTS} select min(point_id) point_id from pts group by te, tn, floor(x / 0.25e0), floor(y / 0.25e0), floor(z / 0.25e0)",
@@ -422,7 +422,7 @@ from member join found on id = point_id group by te, tn, cluster having (max(x)
 select distinct p.point_id, m.te as cluster from pts p join members m on p.te = m.te and p.tn = m.tn and abs(p.x - m.x) <= 0.31e0 and (p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) <= 0.3e0 * 0.3e0 where p.intensity < 4096""",
     "tile_assign": f"with {_PTS} select point_id, (floor(x / 15.0e0) * 15)::bigint tile_e, (floor(y / 15.0e0) * 15)::bigint tile_n from pts",
     "tile_index_bbox": f"""with {_PTS}, {_BOX}, n as (select te, tn, count(*) n_points from pts group by te, tn)
-select {_T}, n_points, x1 <= x0 or y1 <= y0 as degenerate, round(x0, 6) xmin, round(x1, 6) xmax, round(y0, 6) ymin, round(y1, 6) ymax, round((x0 + x1) / 2, 6) cx, round((y0 + y1) / 2, 6) cy, round(greatest(x1 - x0, y1 - y0) * 0.03e0, 6) label_height from box join n using (te, tn)""",
+select {_T}, n_points, x1 <= x0 or y1 <= y0 as degenerate, round(x0, 9) xmin, round(x1, 9) xmax, round(y0, 9) ymin, round(y1, 9) ymax, round((x0 + x1) / 2, 9) cx, round((y0 + y1) / 2, 9) cy, round(greatest(x1 - x0, y1 - y0) * 0.03e0, 9) label_height from box join n using (te, tn)""",
     "tile_halo": f"""with {_PTS}, {_BOX} select p.point_id, b.te as tile_e, b.tn as tile_n, p.te = b.te and p.tn = b.tn as is_core
 from pts p join box b on p.te between b.te - 20 and b.te + 20 and p.tn between b.tn - 20 and b.tn + 20 and p.x between b.x0 - 5 and b.x1 + 5 and p.y between b.y0 - 5 and b.y1 + 5""",
     "tile_name_parse": "select p_partkey, case when p_partkey % 3 = 0 then p_partkey * 10 end::bigint as east, case when p_partkey % 3 = 0 then p_size end::bigint as north from part",
@@ -436,8 +436,8 @@ select {_T}, least(greatest(round_even(sqrt(4000e0 / (n_points / greatest((x1 -
 select n, d as distinct_intensities, round(sd, 4) intensity_std, round(co, 6) rgb_corr, case when n = 0 then 'unknown' when d <= 1 or sd < 5 then 'photogrammetry' when abs(co) > 0.95 then 'photogrammetry' when sd > 50 then 'lidar' else 'unknown' end scan_type from s""",
     "scan_type_variants": "select * from (values ('constant', 'photogrammetry'), ('colour', 'photogrammetry'), ('missing', 'photogrammetry'), ('bare', 'unknown'), ('empty', 'unknown')) t(variant, scan_type)",
     "e57_normalise": f"""with {_PTS}, v as (select *, case when scan_id between 1 and 3 then scan_id end k from pts where invalid = 0)
-select point_id, round(case when k is null then x else (1 - 2 * (0.8e0 * 0.8e0)) * x - 2 * (0.8e0 * 0.6e0) * y + k * 10 end, 6) x, round(case when k is null then y else 2 * (0.8e0 * 0.6e0) * x + (1 - 2 * (0.8e0 * 0.8e0)) * y - 5 end, 6) y,
-round(case when k is null then z else z + 1.5e0 end, 6) z, trunc(least(greatest(red / 65535e0, 0), 1) * 65535)::int red, trunc(least(greatest(green::double, 0), 1) * 65535)::int green, trunc(least(greatest(green / 65535e0, 0), 1) * 65535)::int green_scaled from v""",
+select point_id, round(case when k is null then x else (1 - 2 * (0.8e0 * 0.8e0)) * x - 2 * (0.8e0 * 0.6e0) * y + k * 10 end, 9) x, round(case when k is null then y else 2 * (0.8e0 * 0.6e0) * x + (1 - 2 * (0.8e0 * 0.8e0)) * y - 5 end, 9) y,
+round(case when k is null then z else z + 1.5e0 end, 9) z, trunc(least(greatest(red / 65535e0, 0), 1) * 65535)::int red, trunc(least(greatest(green::double, 0), 1) * 65535)::int green, trunc(least(greatest(green / 65535e0, 0), 1) * 65535)::int green_scaled from v""",
     "rgb_audit": f"""with {_PTS} select 'red' as "column", true as present, count(red) n, min(red)::double lowest, max(red)::double highest from pts union all select 'green', true, count(green), min(green), max(green) from pts
 union all select 'blue', true, count(blue), min(blue), max(blue) from pts union all select 'nir', true, count(nir), min(nir), max(nir) from pts union all select 'gps_time', false, 0, null, null""",
     "block_dedupe": """with blocks as (select distinct p_brand as name, 2.0e0 as width, 4.0e0 as height from part where p_brand <> 'Brand#11'

@@ -20,7 +20,7 @@ def duck(sf_dir):
 
 
 def norm(v):
-    return round(v, 6) + 0.0 if isinstance(v, float) else int(v) if type(v).__name__ == "Decimal" else v
+    return round(v, 9) + 0.0 if isinstance(v, float) else int(v) if type(v).__name__ == "Decimal" else v
 
 
 def compare(name, query, sql, spark, sf_dir, duck):
