@@ -46,7 +46,8 @@ _LOWER = "a-zß-öø-ÿа-яё"
 _GENDER = {t: g for g, titles in _TITLES.items() for t in titles}
 _PATTERNS = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]{0,63}[0-9])(?=[0-9a-fA-F]{0,63}[a-fA-F])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"'](?P<name>[^\s\"']{8,128})[\"']")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])")),
     ("card", re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])")),
@@ -55,7 +56,7 @@ _PATTERNS = (
     ("name", re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? (?P<name>[{_UPPER}][{_LOWER}]+(?:[ -][{_UPPER}][{_LOWER}]+){{0,2}})(?!\w)")),
 )
 #: What a text must hold to be looked at closely.
-_LIKELY = "[0-9@]|" + "|".join(sorted(_GENDER))
+_LIKELY = "[0-9@]|(?i:token|secret|passw|api[_-]?key)|" + "|".join(sorted(_GENDER))
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
@@ -64,7 +65,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     taken = bytearray(len(text))
     for kind, pattern in _PATTERNS:
         for m in pattern.finditer(text):
-            s, e = m.span("name") if kind == "name" else m.span()
+            s, e = m.span("name") if "name" in pattern.groupindex else m.span()
             if any(taken[s:e]):
                 continue
             taken[s:e] = b"\1" * (e - s)
@@ -126,7 +127,7 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
         own = form.split(".")
         keep = 2 if own[:2] == ["192", "168"] else 1 if own[0] in ("10", "127") else 0
         return ".".join(own[:keep] + [str(1 + d.below(223 if i + keep == 0 else 254)) for i in range(4 - keep)])
-    if kind == "secret":
+    if kind == "secret" and not form.strip("0123456789abcdef"):
         return "".join("0123456789abcdef"[d.below(16)] for _ in form)
     keep = {"phone": max(len(form) - 10, 0), "card": 1, "iban": 2}.get(kind, 0)
     end = len(form) - len(form.rpartition(".")[2]) if kind == "email" else len(form)
@@ -155,8 +156,8 @@ def render(kind: str, raw: str, form: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         left = iter(form)
         return "".join(next(left) if c.isalnum() else c for c in raw)
-    if len(form) != len(raw):
-        return form
+    if raw.isupper() or len(form) != len(raw):
+        return form.upper() if raw.isupper() else form
     return "".join(f.upper() if r.isupper() else f for f, r in zip(form, raw, strict=True))
 
 
