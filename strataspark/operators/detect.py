@@ -36,6 +36,11 @@ def valid_scan_points(raw: DataFrame) -> DataFrame:
     return raw.where(F.coalesce(F.col("invalid") == 0, finite) if "invalid" in raw.columns else finite)
 
 
+def scan_count(raw: DataFrame) -> DataFrame:
+    """One row: n_scans, the number of scans in a raw table."""
+    return raw.agg(F.countDistinct("scan_id").alias("n_scans"))
+
+
 def posed(points: DataFrame, poses: DataFrame) -> DataFrame:
     """Points in the global frame: rotated by the scan's unit quaternion (qw, qx, qy, qz), then moved by (tx, ty, tz).
 

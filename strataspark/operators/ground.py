@@ -67,6 +67,12 @@ def ground(points: DataFrame, keys: list[str], p: Params, ws: Workspace) -> Data
     return out.withColumn("ground", mask)
 
 
+def support(points: DataFrame, keys: list[str], least: int = 50) -> DataFrame:
+    """(keys, n_ground, enough): tiles whose ground labels are too few to make a surface from."""
+    n = F.count_if(labels.source_ground(F.col("classification")))
+    return points.groupBy(*keys).agg(n.alias("n_ground"), (n >= least).alias("enough"))
+
+
 def key_points(points: DataFrame, keys: list[str], step: float, label: str = "class") -> DataFrame:
     """``points`` whose lowest ground point of each step cell (smallest id on ties) becomes class 8."""
     own = points.where(F.col(label) == labels.GROUND)

@@ -276,6 +276,20 @@ def e57_normalise(spark, sf_dir):
     return own.select("point_id", *(_micro(v).alias(v) for v in "xyz"), detect.channel(F.col("red")).alias("red"), detect.channel(F.col("green")).alias("green"), detect.channel(F.col("green"), 65535.0).alias("green_scaled"))
 
 
+def scan_count(spark, sf_dir):
+    return detect.scan_count(_points(spark, sf_dir))
+
+
+def ground_support(spark, sf_dir):
+    """Whether each tile has the 50 points of a ground class that a surface from labels needs."""
+    return ground.support(_points(spark, sf_dir), KEYS)
+
+
+def run_summary(spark, sf_dir):
+    tiles = tile_status(spark, sf_dir).withColumn("n_clusters", F.lit(1).cast("long"))
+    return classify.run_summary(tiles)
+
+
 def rgb_audit(spark, sf_dir):
     return detect.audit(_points(spark, sf_dir), "red", "green", "blue", "nir", "gps_time")
 
@@ -438,6 +452,10 @@ select n, d as distinct_intensities, round(sd, 4) intensity_std, round(co, 6) rg
     "e57_normalise": f"""with {_PTS}, v as (select *, case when scan_id between 1 and 3 then scan_id end k from pts where invalid = 0)
 select point_id, round(case when k is null then x else (1 - 2 * (0.8e0 * 0.8e0)) * x - 2 * (0.8e0 * 0.6e0) * y + k * 10 end, 9) x, round(case when k is null then y else 2 * (0.8e0 * 0.6e0) * x + (1 - 2 * (0.8e0 * 0.8e0)) * y - 5 end, 9) y,
 round(case when k is null then z else z + 1.5e0 end, 9) z, trunc(least(greatest(red / 65535e0, 0), 1) * 65535)::int red, trunc(least(greatest(green::double, 0), 1) * 65535)::int green, trunc(least(greatest(green / 65535e0, 0), 1) * 65535)::int green_scaled from v""",
+    "scan_count": f"with {_PTS} select count(distinct scan_id) n_scans from pts",
+    "ground_support": f"with {_PTS} select {_T}, count(*) filter (classification in (2, 8)) n_ground, count(*) filter (classification in (2, 8)) >= 50 as enough from pts group by te, tn",
+    "run_summary": f"""{_GUARD}, st as (select case when n_candidates < 8 or n_candidates / n_points > 0.02e0 then 'OTHER' else 'PROCESSED' end as status from guard)
+select status, count(*) n_tiles, count(*) n_clusters from st group by status""",
     "rgb_audit": f"""with {_PTS} select 'red' as "column", true as present, count(red) n, min(red)::double lowest, max(red)::double highest from pts union all select 'green', true, count(green), min(green), max(green) from pts
 union all select 'blue', true, count(blue), min(blue), max(blue) from pts union all select 'nir', true, count(nir), min(nir), max(nir) from pts union all select 'gps_time', false, 0, null, null""",
     "block_dedupe": """with blocks as (select distinct p_brand as name, 2.0e0 as width, 4.0e0 as height from part where p_brand <> 'Brand#11'
@@ -451,7 +469,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         voxel_thin_lowest, wall_filter_cells, nearest_fill, focal_opening, median_smooth, nz_nearest, nz_bilinear, ground_grid_classify, probable_ground, height_bands,
         ground_from_source_class, model_keypoints, class_summary, bird_candidates, candidate_guard, bird_clusters, voxel_downsample_2d, voxel_downsample_3d, cluster_expansion,
         tile_assign, tile_index_bbox, tile_halo, tile_name_parse, auto_tile_size, merge_compatible, bbox_scan, head_sample, header_scan, tile_status, scan_type_detect,
-        scan_type_variants, e57_normalise, rgb_audit, block_dedupe, cloth_ground, ransac_roof, classify_lidar, classify_photogrammetry, classify_slam,
+        scan_type_variants, e57_normalise, scan_count, ground_support, run_summary, rgb_audit, block_dedupe, cloth_ground, ransac_roof, classify_lidar, classify_photogrammetry, classify_slam,
     )
     out = {f.__name__: f for f in named}
     out |= {"grid_min_raster": partial(raster_of, "min"), "grid_mean_raster": partial(raster_of, "mean")}
