@@ -34,8 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     # rows that repeat an id are one document: the first by its text stays
     first = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
-    numbered = kept.withColumn("_row", F.row_number().over(first))
-    return numbered.where("_row = 1 or doc_id is null").select(docs.columns)
+    number = "_row"
+    while number in docs.columns:
+        number = f"_{number}"
+    numbered = kept.withColumn(number, F.row_number().over(first))
+    return numbered.where((F.col(number) == 1) | F.col("doc_id").isNull()).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

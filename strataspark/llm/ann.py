@@ -325,5 +325,6 @@ class NeighbourGraph:
 
         last = last.select("query_id", "members", "q", "e").mapInArrow(exact, "query_id long, members array<long>, score double")
         each = last.select("query_id", F.explode("members").alias("vec_id"), "score").where("vec_id <> query_id")
+        each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may have several vectors
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return each.withColumn("rank", rank).where(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")

@@ -77,8 +77,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     table = table.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("_source")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # the row travels as one column, so its columns' names can't clash with these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    joined = rows.join(table, F.col("_row.source").eqNullSafe(F.col("_source")))
+    key = F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("null"))
     draw = lambda i: F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(f"draw{seed}"), key, i.cast("string"))))
     one = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     many = F.aggregate(F.sequence(F.lit(2), F.col("_parts")), one, lambda n, i: n + draw(i))
@@ -86,9 +88,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     joined = joined.withColumn("_n", F.when(F.col("_parts") > 1, many).otherwise(one)).where("_n > 0")
     copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), key, F.col("_copy").cast("string"))), 1, 13), 16, 10).cast("long")
-    shuffled = copies.withColumn("_key", order).drop("_source", "_parts", "_cdf", "_u", "_n")
-    shuffled = shuffled.repartition("_key").sortWithinPartitions("_key")
-    if not with_copy:
-        return shuffled.select(*(F.col(f"`{c}`") for c in docs.columns))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("rate", "copy", "shuffle_key")]
-    return shuffled.select(*kept, F.col("_rate").alias("rate"), F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key"))
+    shuffled = copies.select("_row", "_rate", "_copy", order.alias("_key")).repartition("_key").sortWithinPartitions("_key")
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if not (with_copy and c in ("rate", "copy", "shuffle_key"))]
+    more = [F.col("_rate").alias("rate"), F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key")]
+    return shuffled.select(*own, *(more if with_copy else []))

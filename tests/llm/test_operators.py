@@ -223,6 +223,8 @@ def test_mixing(spark, odd):
     rate = 4500 / 1990
     assert abs(counts[0] / 1990 - np.exp(-rate)) < 0.03
     assert mixing.mix_sources(odd).columns == odd.columns and mixing.mix_sources(odd.limit(0)).count() == 0
+    clash = odd.withColumns({"_n": F.lit(7), "_row": F.lit("r"), "rate": F.lit(1), "score": F.lit(2), "_key": F.lit(3)})
+    assert {(r["_n"], r["_row"], r["rate"]) for r in mixing.mix_sources(clash).collect()} <= {(7, "r", 1)}
     large = mixing.mix_sources(spark.createDataFrame([(1, "x", "a"), (2, "y" * 4999, "b")], "doc_id long, text string, source string"), {"a": 1, "b": 0}).count()
     assert abs(large - 2501) < 300  # a rate beyond PART_RATE
 
