@@ -25,14 +25,39 @@ def dbscan(points: DataFrame, keys: list[str], eps: float, min_pts: int, ws: Wor
 
     A core point has min_pts neighbours, itself included. The cluster is the smallest core id; a
     border point joins the adjacent cluster of smallest id, as in a scan in id order.
+
+    Points of one cell of side eps / sqrt(2) are neighbours, so a cell with min_pts points is all
+    core and one node. Pairs are listed for points of other cells only, fewer than min_pts a cell,
+    which keeps them linear in the number of points; two full cells are linked if any pair is near.
     """
-    pairs = ws.table(neighbour_pairs(points, keys, eps), "pairs")
-    core = ws.table(pairs.groupBy(*keys, "a").count().where(F.col("count") >= min_pts).select(*keys, F.col("a").alias("core")), "core")
-    of_core = pairs.join(core.withColumnRenamed("core", "b"), [*keys, "b"])
-    edges = of_core.join(core.withColumnRenamed("core", "a"), [*keys, "a"], "left_semi").where("a < b").select("a", "b")
-    comps = components(edges, ws)
-    label = core.join(comps.withColumnRenamed("node", "core"), "core", "left").select("core", F.coalesce("component", "core").alias("cluster"))
-    return of_core.join(label, F.col("b") == F.col("core")).groupBy(*keys, F.col("a").alias("point_id")).agg(F.min("cluster").alias("cluster"))
+    side = eps / 2**0.5 * (1 - 1e-9)
+    own = points.select(*keys, "point_id", "x", "y", F.floor(F.col("x") / side).alias("i"), F.floor(F.col("y") / side).alias("j"))
+    cells = own.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"), F.min("point_id").alias("first"))
+    own = own.join(cells, [*keys, "i", "j"]).withColumn("full", F.col("n") >= min_pts)
+    own = ws.table(own.withColumn("node", F.when(F.col("full"), F.col("first")).otherwise(F.col("point_id"))).drop("n", "first"), "cells")
+    loose = own.where("not full")
+    near = ws.table(_within(loose, own, keys, eps, [(i, j) for i in range(-2, 3) for j in range(-2, 3)]), "near")
+    core = near.groupBy("a").count().where(F.col("count") >= min_pts).select(F.col("a").alias("b"))
+    core = ws.table(core, "core")
+    to_core = ws.table(near.where("full").select(*keys, "a", "node").union(near.where("not full").join(core, "b", "left_semi").select(*keys, "a", "node")), "to-core")
+    links = to_core.join(core.withColumnRenamed("b", "a"), "a", "left_semi").select("a", F.col("node").alias("b"))
+    full = own.where("full")
+    ahead = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    between = _within(full, full, keys, eps, ahead).select(F.col("own").alias("a"), F.col("node").alias("b")).distinct()
+    comps = components(links.union(between), ws).withColumnRenamed("component", "cluster")
+    member = own.where("full").select(*keys, "point_id", "node").union(to_core.select(*keys, F.col("a").alias("point_id"), "node"))
+    labelled = member.join(comps, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    return labelled.groupBy(*keys, "point_id").agg(F.min("cluster").alias("cluster"))
+
+
+def _within(left: DataFrame, right: DataFrame, keys: list[str], eps: float, steps: list[tuple[int, int]]) -> DataFrame:
+    """(keys, a, own, b, node, full): pairs at most eps apart whose cells differ by one of ``steps``."""
+    cells = F.explode(F.array(*(F.struct((F.col("i") + i).alias("i"), (F.col("j") + j).alias("j")) for i, j in steps)))
+    a = left.select(*keys, F.col("point_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("node").alias("own"), cells.alias("c"))
+    a = a.select(*keys, "a", "ax", "ay", "own", "c.i", "c.j")
+    b = right.select(*keys, "i", "j", F.col("point_id").alias("b"), "x", "y", "node", "full")
+    d2 = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))
+    return a.join(b, [*keys, "i", "j"]).where(d2 <= eps * eps).select(*keys, "a", "own", "b", "node", "full")
 
 
 def cluster_table(points: DataFrame, labels: DataFrame, keys: list[str], min_area: float = 0.0, max_area: float = float("inf")) -> DataFrame:

@@ -64,8 +64,9 @@ def cloud(spark, n, seed, size=6.0):
     return xy, frame.withColumns({"tile_e": F.lit(0).cast("long"), "tile_n": F.lit(0).cast("long")})
 
 
-def test_dbscan_equals_sequential(spark):
-    xy, frame = cloud(spark, 260, 3)
+@pytest.mark.parametrize("size", [6.0, 3.0, 1.5])
+def test_dbscan_equals_sequential(spark, size):
+    xy, frame = cloud(spark, 260, 3, size)
     got = {r.point_id: r.cluster for r in cluster.dbscan(frame, KEYS, 0.35, 5, Workspace(spark, "t")).collect()}
     near = ((xy[:, None] - xy[None]) ** 2).sum(2) <= 0.35 * 0.35
     core = near.sum(1) >= 5
