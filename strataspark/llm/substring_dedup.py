@@ -186,12 +186,13 @@ class FingerprintIndex:
         found = archive.select("doc_id", "fp", "text", "fresh").mapInArrow(_windows(self._again(run)), "h1 long, h2 long, doc_id long, fp long, start int, fresh boolean, again boolean")
         found = self.ws.table(found, "windows")
         shared = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        shared = self.ws.table(shared.select("h1", "h2", "first"), "shared")
         fresh = found.where("fresh").select("h1", "h2", "doc_id", "fp", "start", "again")
-        later = fresh.where("not again").join(shared.select("h1", "h2", "first").hint("merge"), ["h1", "h2"]).where("doc_id > first")
+        later = fresh.where("not again").join(shared.hint("merge"), ["h1", "h2"]).where("doc_id > first")
         # what comes again within a document goes with it or without
         later = later.select("doc_id", "fp", "start").union(fresh.where("again").select("doc_id", "fp", "start"))
         removed = self.ws.table(later.groupBy("doc_id", "fp").agg(F.collect_set("start").alias("starts")), "removed")
-        self.ws.drop(found)
+        self.ws.drop(found, shared)
         self.runs.append(run)
         self.texts = docs if self.texts is None else self.texts.union(docs)
         if len(self.runs) >= MAX_RUNS:
