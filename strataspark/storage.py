@@ -7,15 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while a table is written: its shuffle files go with its end, as nothing reads
+#: them afterwards, and Arrow batches stay small, as texts may be long.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+#: Folders made here, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="strataspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = tempfile.mkdtemp(prefix="strataspark-")
+        configured = _OWN[application]
     return configured.rstrip("/")
 
 
@@ -32,16 +42,16 @@ class Workspace:
         return f"{self.root}/{self._n:03d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table (executor loss then costs a reread only).
-
-        The shuffle files of the write are removed with its end; nothing reads them afterwards.
-        """
-        path, before = self.path(name), self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        """Write ``df`` and return the written table (executor loss then costs a reread only)."""
+        path, conf = self.path(name), self.spark.conf
+        before = {k: conf.get(k, None) for k in _SETTINGS}
+        for k, v in _SETTINGS.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.workspace_path = path
         return out
