@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Workspace
+
 #: What the base phrases are and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Opening words of the notices by which well-known licenses are applied.
@@ -97,15 +99,20 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, theta: float = THETA) ->
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
     own = own.select("doc_id", F.regexp_extract_all("t", F.lit(f"({WORDS})"), F.lit(1)).alias("w"), F.col("t").contains("license").alias("l"))
     own = own.withColumn("v", F.array_intersect("w", _strings(vocabulary)))
+    possible = F.lit(False)
+    for (_, words), need in zip(sets, needs, strict=True):
+        possible = possible | (F.size(F.array_intersect("v", _strings(words))) >= need)
+    own = own.withColumn("possible", possible)
+    # texts are cut into words once; words are kept where a phrase or a template may stand
+    words = F.when(F.col("l") | F.col("possible"), F.col("w")).otherwise(F.array().cast("array<string>"))
+    own = own.select("doc_id", F.size("w").cast("long").alias("n_words"), "v", "l", "possible", words.alias("w"))
+    own = Workspace(docs.sparkSession, "licenses").table(own, "words")
     # one row for each word of the templates
     counts = {r["word"]: r["count"] for r in own.select(F.explode("v").alias("word")).groupBy("word").count().collect()}
     vocabulary.sort(key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(vocabulary)}
-    possible = F.lit(False)
-    for (_, words), need in zip(sets, needs, strict=True):
-        possible = possible | (F.size(F.array_intersect("v", _strings(words))) >= need)
     empty = F.array().cast("array<array<string>>")
-    own = own.withColumn("blocks", F.when(possible, _block_of(F.col("w"), _strings(vocabulary))).otherwise(empty))
+    own = own.withColumn("blocks", F.when(F.col("possible"), _block_of(F.col("w"), _strings(vocabulary))).otherwise(empty))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     own = own.withColumn("places", F.when(F.col("l") & (F.size("w") > 0), _places(F.col("w"))).otherwise(none))
     shares = [_containment(F.col("blocks"), sorted(words, key=rank.__getitem__), need) for (_, words), need in zip(sets, needs, strict=True)]
@@ -117,7 +124,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, theta: float = THETA) ->
     n = F.size("places")
     return own.select(
         "doc_id",
-        F.size("w").cast("long").alias("n_words"),
+        "n_words",
         n.cast("long").alias("n_base"),
         F.array_min("places.start").alias("first_word"),
         F.array_max("places.start").alias("last_word"),
