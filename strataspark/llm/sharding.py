@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a part and of a cell, about; and the least number of parts.
-PART_ROWS, CELL_ROWS, LEAST_PARTS = 250_000, 100_000, 64
+PART_ROWS, CELL_ROWS, LEAST_PARTS = 50_000, 50_000, 64
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
