@@ -171,7 +171,7 @@ def bird_clusters(spark, sf_dir):
 
 
 def voxel_downsample_2d(spark, sf_dir):
-    return cluster.downsample_2d(_points(spark, sf_dir).where("intensity < 8192"), KEYS, 0.1).select("point_id")
+    return cluster.downsample_2d(_points(spark, sf_dir), KEYS, 0.1).select("point_id")
 
 
 def voxel_downsample_3d(spark, sf_dir):
@@ -181,8 +181,8 @@ def voxel_downsample_3d(spark, sf_dir):
 def cluster_expansion(spark, sf_dir):
     """Candidates within eps of a voxel that belongs to a clump (here: to the supplier's box)."""
     pts = _points(spark, sf_dir)
-    members = pts.where("zi between 60 and 400 and classification = 1 and point_id % 3 = 0").withColumn("cluster", F.col("tile_e"))
-    return cluster.expand(members, pts.where("intensity < 4096"), KEYS, 0.3).select("point_id", "cluster")
+    members = pts.where("zi between 60 and 400 and classification = 1").withColumn("cluster", F.col("tile_e"))
+    return cluster.expand(members, pts, KEYS, 0.3).select("point_id", "cluster")
 
 
 # -- tiles -----------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strataspark.functions import color, labels
 from strataspark.operators import blocks, cluster, components, detect, ground, raster, tiling, tilewise
 from strataspark.params import Params
-from strataspark.plans import classify
+from strataspark.plans import classify, queries
 from strataspark.storage import Workspace
 
 KEYS = ["tile_e", "tile_n"]
@@ -170,3 +170,16 @@ def test_key_points_take_first_on_ties(spark):
     frame = frame.withColumns({"tile_e": F.lit(0), "tile_n": F.lit(0)})
     got = {r.point_id: r["class"] for r in ground.key_points(frame, KEYS, 8.0).collect()}
     assert got == {5: 2, 3: 8, 9: 1}
+
+
+def test_plane_queries_take_all_points(spark, sf_dir):
+    pts = queries._points(spark, sf_dir).select("point_id", "tile_e", "tile_n", "x", "y", "zi", "classification").toPandas()
+    first = pts.groupby([pts.tile_e, pts.tile_n, np.floor(pts.x / 0.1), np.floor(pts.y / 0.1)]).point_id.min()
+    assert sorted(r.point_id for r in queries.voxel_downsample_2d(spark, sf_dir).collect()) == sorted(first)
+    want = set()
+    for (e, _), own in pts.groupby(["tile_e", "tile_n"]):
+        near = own[own.zi.between(60, 400) & (own.classification == 1)]
+        dx, dy = (np.subtract.outer(own[v].to_numpy(), near[v].to_numpy()) for v in "xy")
+        want |= {(p, e) for p in own.point_id[(dx * dx + dy * dy <= 0.3 * 0.3).any(1)]}
+    got = [(r.point_id, r.cluster) for r in queries.cluster_expansion(spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
