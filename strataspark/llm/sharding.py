@@ -5,6 +5,8 @@ From the parts' exact counts the driver draws how many rows each part sends to e
 the matrix sum to the parts' counts, columns to the shard sizes, and its law is that of a uniform
 permutation. Each part is permuted locally and cut at the matrix row's borders; each shard then
 permutes what it gets, in cells of bounded size whose exact counts give every row its slot.
+Equal rows are in one part, which the law allows for, and are numbered there; all that follows the
+parts draws from the row's hash and that number, so copies of a row go apart like any other rows.
 DataFrame functions only; the driver sees P counts and cell counts, one for some 100,000 rows.
 """
 
@@ -70,14 +72,14 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """``docs`` with shard (0 to shards - 1, sizes at most one apart) and slot (gapless from 0 in each shard).
 
     The shuffle is uniform, repeatable for a seed, and independent of the input's partitions. Rows
-    equal in all columns are interchangeable. Empty tables give empty results. Columns of ``docs``
-    that are named shard or slot are kept under a leading underscore.
+    equal in all columns are interchangeable, and each is placed on its own. Empty tables give empty
+    results. Columns of ``docs`` that are named shard or slot are kept under a leading underscore.
     """
     spark = docs.sparkSession
     for name in [c for c in docs.columns if c.lower() in ("shard", "slot")]:
         docs = docs.withColumnRenamed(name, _fresh([*docs.columns, "shard", "slot"], name))
     names = docs.columns
-    h, p, rank, cell = (_fresh(names, x) for x in ("h", "part", "rank", "cell"))
+    h, p, copy, rank, cell = (_fresh(names, x) for x in ("h", "part", "copy", "rank", "cell"))
     hashable = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keyed = docs.withColumn(h, F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in hashable)))
     total = docs.count()
@@ -92,13 +94,16 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     borders = _values(spark, [{p: i, "borders": np.cumsum(row).tolist()} for i, row in enumerate(matrix)], f"`{p}` bigint, borders array<bigint>")
 
     def sharded(frame: DataFrame) -> DataFrame:
-        local = Window.partitionBy(p).orderBy(F.xxhash64(F.lit(seed + 2), h), h)
-        ranked = frame.withColumn(rank, F.row_number().over(local) - 1)
+        alike = Window.partitionBy(p).orderBy(h)
+        # both windows follow one exchange by part
+        own = frame.withColumn(copy, F.row_number().over(alike) - F.rank().over(alike))
+        local = Window.partitionBy(p).orderBy(F.xxhash64(F.lit(seed + 2), h, copy), h, copy)
+        ranked = own.withColumn(rank, F.row_number().over(local) - 1)
         # one row a part: at most rows / PART_ROWS of them
         placed = ranked.join(F.broadcast(borders), p)
         shard = F.size(F.filter("borders", lambda b: b <= F.col(rank)))
         placed = placed.withColumn("shard", shard).drop("borders", rank, p)
-        return placed.withColumn(cell, F.pmod(F.xxhash64(F.lit(seed + 3), h), F.lit(cells)))
+        return placed.withColumn(cell, F.pmod(F.xxhash64(F.lit(seed + 3), h, copy), F.lit(cells)))
 
     found = sharded(keyed.select(h, p)).groupBy("shard", cell).count()
     filled = {(r[0], r[1]): r[2] for r in found.toLocalIterator()}
@@ -109,7 +114,7 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
             starts.append({"shard": s, cell: c, "start": at})
             at += filled.get((s, c), 0)
     offsets = _values(spark, starts, f"shard int, `{cell}` bigint, start bigint")
-    again = Window.partitionBy("shard", cell).orderBy(F.xxhash64(F.lit(seed + 4), h), h)
+    again = Window.partitionBy("shard", cell).orderBy(F.xxhash64(F.lit(seed + 4), h, copy), h, copy)
     out = sharded(keyed).withColumn(rank, F.row_number().over(again) - 1)
     out = out.join(F.broadcast(offsets), ["shard", cell])
     return out.select(*(F.col(f"`{c}`") for c in names), "shard", (F.col("start") + F.col(rank)).alias("slot"))

@@ -205,6 +205,15 @@ def test_shards(spark, odd):
     assert sharding.shard_rows(odd, 4).count() == len(ODD) and sharding.shard_rows(odd.limit(0), 4).count() == 0
 
 
+def test_copies_of_a_row_spread_over_shards(spark):
+    frame = spark.range(2000).select((F.col("id") % 40).alias("doc_id"), F.lit("t").alias("text"))
+    rows = sorted(tuple(r) for r in sharding.shard_rows(frame, 16, seed=1).select("shard", "slot", "doc_id").collect())
+    assert np.bincount([r[2] for r in rows]).tolist() == [50] * 40
+    assert min(len({s for s, _, d in rows if d == doc}) for doc in range(40)) >= 10
+    assert np.mean([a[2] == b[2] for a, b in zip(rows, rows[1:])]) < 0.1
+    assert rows == sorted(tuple(r) for r in sharding.shard_rows(frame.repartition(7), 16, seed=1).select("shard", "slot", "doc_id").collect())
+
+
 def test_communication_matrix():
     m = np.array(sharding.communication_matrix([5, 0, 100, 7], [30, 41, 41], 3))
     assert m.sum(1).tolist() == [5, 0, 100, 7] and m.sum(0).tolist() == [30, 41, 41]
