@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
 Equal vectors are one node. A neighbour graph starts from the cells of random-projection trees
-(fitted on a bounded sample; every vector goes down every tree) and is refined by NN-descent: each
-round joins nodes with their neighbours' neighbours, as the members around each node with their
+(fitted on a bounded sample; every vector goes down every tree; what is still too large is halved
+by hyperplanes of its own) and is refined by NN-descent until few lists change: each round joins nodes with their neighbours' neighbours, as the members around each node with their
 vectors, and keeps each node's best ``K``. Queries start at their own node and expand the best
-nodes of a beam, round by round, by joins with graph and vectors. What the beam holds at last is
+nodes of a beam, by joins with graph and vectors, until none is left to expand. What the beam holds at last is
 scored on the original vectors in double precision.
 """
 
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from ..storage import Workspace
 
 K = 40
+#: MOST_LEAVES bounds the trees that are broadcast; cells that are too large after them are halved by joins.
 TREES, CELL, SAMPLE, MOST_LEAVES = 10, 256, 8192, 2048
-ROUNDS, MEMBERS = 4, 32
-SEARCH_ROUNDS, EXPANDED, BEAM, RESCORED = 12, 24, 320, 60
+#: Least rounds of NN-descent; more follow until at most this share of list places changes in a round.
+ROUNDS, MEMBERS, CHANGED = 4, 32, 0.001
+EXPANDED, BEAM, RESCORED = 24, 320, 60
 
 _LISTS = "id long, ids array<long>, scores array<float>"
 
@@ -107,29 +109,62 @@ def _trees(sample: np.ndarray, leaves: int, seed: int) -> list[tuple[np.ndarray,
     return out
 
 
-def _cells(state, dim: int, sizes=None):
-    """(cell, id, x) for each tree; large cells are dealt into parts by a hash of the id."""
+def _cells(state, dim: int):
+    """(cell, id) for each tree."""
 
     def run(batches):
         trees = state.value
-        counts = None if sizes is None else sizes.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("x"), dim)
             unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-            ids = batch.column("id").to_numpy()
             for t, (normals, cuts) in enumerate(trees):
                 node = np.ones(len(x), np.int64)
                 for _ in range(len(cuts).bit_length() - 1):
                     node = 2 * node + ((unit * normals[node]).sum(1) > cuts[node])
-                cell = t * 2 * len(cuts) + node
-                if counts is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(cell)], names=["cell"])
+                yield pa.RecordBatch.from_arrays([pa.array(t * 2 * len(cuts) + node), batch.column("id")], names=["cell", "id"])
+
+    return run
+
+
+def _splits(dim: int):
+    """(cell, normal, cut): a hyperplane between two random points of a cell's sample, cut at its median."""
+
+    def run(batches):
+        for batch in _whole_groups(batches, "cell"):
+            cells, x = batch.column("cell").to_numpy(), _matrix(batch.column("x"), dim)
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+            borders, rows = _borders(cells), []
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                if hi == lo:
                     continue
-                parts = np.array([max(1, -(-counts.get(c, 1) // (2 * CELL))) for c in cell.tolist()])
-                salt = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t)) >> np.uint64(33)).astype(np.int64) % parts
-                yield pa.RecordBatch.from_arrays([pa.array(cell * 1_000_003 + salt), batch.column("id"), batch.column("x")], names=["cell", "id", "x"])
+                rng = np.random.Generator(np.random.Philox(int(cells[lo]) & (2**63 - 1)))
+                a, b = rng.integers(lo, hi, 2)
+                normal = unit[a] - unit[b]
+                if not normal.any():
+                    normal = rng.normal(size=dim).astype(np.float32)
+                rows.append((cells[lo], normal.tobytes(), float(np.median((unit[lo:hi] * normal).sum(1)))))
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.float32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["cell", "normal", "cut"])
+
+    return run
+
+
+def _sides(dim: int):
+    """(cell, id, side): rows on the cut go by ``coin``, so that equal projections part too."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, normal, cut = _matrix(batch.column("x"), dim), _matrix(batch.column("normal"), dim), batch.column("cut").to_numpy()
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+            at = (unit * normal).sum(1)
+            coin = batch.column("coin").to_numpy(zero_copy_only=False)
+            side = np.where(at == cut, coin, at > cut)
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("id"), pa.array(side.astype(np.int64))], names=["cell", "id", "side"])
 
     return run
 
@@ -266,15 +301,41 @@ class NeighbourGraph:
             leaves *= 2
         context = self.spark.sparkContext
         trees = context.broadcast(_trees(points, leaves, seed) if len(points) else [])
-        cells = self.vectors.mapInArrow(_cells(trees, dim), "cell long").groupBy("cell").count()
-        sizes = context.broadcast({r["cell"]: r["count"] for r in cells.collect()})  # TREES * MOST_LEAVES rows at most
-        placed = self.vectors.mapInArrow(_cells(trees, dim, sizes), "cell long, id long, x binary")
+        placed = self._split(self.ws.table(self.vectors.mapInArrow(_cells(trees, dim), "cell long, id long"), "cells"), dim)
+        placed = placed.join(self.vectors, "id").select("cell", "id", "x")
         lists = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_within_cells(dim), _LISTS)
         graph = self._merged(lists)
-        for _ in range(ROUNDS):
-            graph = self._merged(graph.unionByName(self._round(graph)))
+        rounds, settled = 0, count == 0
+        while rounds < ROUNDS or not settled:
+            last, graph = graph, self._merged(graph.unionByName(self._round(graph)))
+            rounds += 1
+            if rounds >= ROUNDS:
+                both = graph.select("id", "ids").join(last.select("id", F.col("ids").alias("old")), "id", "left")
+                new = F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<long>"))))
+                settled = (both.agg(F.sum(new)).first()[0] or 0) <= CHANGED * K * count
         return graph
 
+    def _split(self, placed: DataFrame, dim: int) -> DataFrame:
+        """(cell, id) with cells halved by further hyperplanes until none has over 2 * CELL rows."""
+        done, level = [], 0
+        while True:
+            large = self.ws.table(placed.groupBy("cell").count().where(F.col("count") > 2 * CELL), "large")
+            done.append(placed.join(large, "cell", "left_anti"))
+            if large.isEmpty():
+                break
+            level += 1
+            own = placed.join(large, "cell").join(self.vectors, "id").withColumn("coin", F.pmod(F.xxhash64(F.lit(-level), "id"), F.lit(2)))
+            chance = F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 30)) * F.col("count")
+            sample = own.where(chance < CELL << 30).select("cell", "id", "x").repartition("cell").sortWithinPartitions("cell", "id")
+            cuts = self.ws.table(sample.mapInArrow(_splits(dim), "cell long, normal binary, cut float"), "cuts")
+            halves = own.join(cuts, "cell").select("cell", "id", "x", "coin", "normal", "cut").mapInArrow(_sides(dim), "cell long, id long, side long")
+            kept = placed.join(large, "cell", "left_semi").join(cuts, "cell", "left_anti").select(F.xxhash64("cell", F.lit(2)).alias("cell"), "id")
+            placed = self.ws.table(halves.select(F.xxhash64("cell", "side").alias("cell"), "id").union(kept), "cells")
+        out = done[0]
+        for part in done[1:]:
+            out = out.union(part)
+        return out
+
     def _merged(self, lists: DataFrame) -> DataFrame:
         return self.ws.table(lists.repartition("id").sortWithinPartitions("id").mapInArrow(_merge, _LISTS), "graph")
 
@@ -305,13 +366,15 @@ class NeighbourGraph:
         none = F.array().cast("array<long>")
         beam = own.select("query_id", "x", none.alias("ids"), F.array().cast("array<float>").alias("scores"), none.alias("done"), F.array("id").alias("todo"))
         schema = "query_id long, x binary, ids array<long>, scores array<float>, done array<long>, todo array<long>"
-        for step in range(SEARCH_ROUNDS):
+        step = 0
+        while step == 0 or not beam.where(F.size("todo") > 0).isEmpty():
             front = beam.select("query_id", F.explode("todo").alias("center"))
             reached = front.join(links, "center").select("query_id", F.explode("near").alias("id"))
             if step == 0:
                 reached = reached.union(front.select("query_id", F.col("center").alias("id")))
             scored = reached.distinct().join(self.vectors, "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "x")).alias("found"))
             beam = self.ws.table(beam.join(scored, "query_id", "left").mapInArrow(_search_step(self.dim), schema), "beam")
+            step += 1
         last = beam.select("query_id", F.explode(F.slice("ids", 1, RESCORED)).alias("id"))
         last = last.join(own.select("query_id", F.col("e").alias("q")), "query_id").join(self.nodes.select("id", "e", "members"), "id")
         dim = self.dim

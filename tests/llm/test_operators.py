@@ -346,3 +346,17 @@ def test_neighbours(spark):
     few = spark.createDataFrame(rows[:3], frame.schema)
     assert ann.NeighbourGraph(few, 20).search(few).count() == 6
     assert ann.NeighbourGraph(frame.limit(0), 20).search(frame).count() == 0
+
+
+def test_neighbours_of_tight_clusters(spark, monkeypatch):
+    for name, value in (("MOST_LEAVES", 1), ("CELL", 16), ("ROUNDS", 0), ("TREES", 3)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(1, 24)) + 0.05 * rng.normal(size=(900, 24)), rng.normal(size=(600, 24))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    frame = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    want = np.argsort(-scores, 1)[:, :20]
+    found = {r.id: set(r.ids) for r in ann.NeighbourGraph(frame).graph.select("id", "ids").collect()}
+    assert np.mean([len(found[i] & set(want[i].tolist())) / 20 for i in range(len(x))]) > 0.9
