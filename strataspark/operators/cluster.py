@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..storage import Workspace
 from .components import components
 
+#: Pairs of points that two cells may list to find one within reach.
+LISTED = 4096
+
 
 def neighbour_pairs(points: DataFrame, keys: list[str], eps: float, other: DataFrame | None = None) -> DataFrame:
     """(keys, a, b) with distance <= eps in the plane, self pairs included; a hash join on cells of side eps."""
@@ -28,7 +31,7 @@ def dbscan(points: DataFrame, keys: list[str], eps: float, min_pts: int, ws: Wor
 
     Points of one cell of side eps / sqrt(2) are neighbours, so a cell with min_pts points is all
     core and one node. Pairs are listed for points of other cells only, fewer than min_pts a cell,
-    which keeps them linear in the number of points; two full cells are linked if any pair is near.
+    which keeps them linear in the number of points; two full cells are linked by ``_touching``.
     """
     side = eps / 2**0.5 * (1 - 1e-9)
     own = points.select(*keys, "point_id", "x", "y", F.floor(F.col("x") / side).alias("i"), F.floor(F.col("y") / side).alias("j"))
@@ -41,10 +44,7 @@ def dbscan(points: DataFrame, keys: list[str], eps: float, min_pts: int, ws: Wor
     core = ws.table(core, "core")
     to_core = ws.table(near.where("full").select(*keys, "a", "node").union(near.where("not full").join(core, "b", "left_semi").select(*keys, "a", "node")), "to-core")
     links = to_core.join(core.withColumnRenamed("b", "a"), "a", "left_semi").select("a", F.col("node").alias("b"))
-    full = own.where("full")
-    ahead = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
-    between = _within(full, full, keys, eps, ahead).select(F.col("own").alias("a"), F.col("node").alias("b")).distinct()
-    comps = components(links.union(between), ws).withColumnRenamed("component", "cluster")
+    comps = components(links.union(_touching(own.where("full"), keys, eps, side, ws)), ws).withColumnRenamed("component", "cluster")
     member = own.where("full").select(*keys, "point_id", "node").union(to_core.select(*keys, F.col("a").alias("point_id"), "node"))
     labelled = member.join(comps, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     return labelled.groupBy(*keys, "point_id").agg(F.min("cluster").alias("cluster"))
@@ -60,6 +60,69 @@ def _within(left: DataFrame, right: DataFrame, keys: list[str], eps: float, step
     return a.join(b, [*keys, "i", "j"]).where(d2 <= eps * eps).select(*keys, "a", "own", "b", "node", "full")
 
 
+def _touching(full: DataFrame, keys: list[str], eps: float, side: float, ws: Workspace) -> DataFrame:
+    """(a, b): nodes of full cells that have points at most eps apart.
+
+    Boxes around the points decide most pairs of cells: linked where even their far ends are within
+    eps, apart where their near ends aren't. Only the few others list pairs of points, or, if that
+    were over ``LISTED`` pairs, are halved each way and their parts' boxes compared, level by level.
+    """
+    boxes = ws.table(_boxes(full, keys, side), "boxes")
+    a, b = _end(boxes, "a"), _end(boxes, "b")
+    ahead = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    cells = F.explode(F.array(*(F.struct((F.col("ai") + i).alias("bi"), (F.col("aj") + j).alias("bj")) for i, j in ahead)))
+    pairs = a.withColumn("c", cells).select(*a.columns, "c.bi", "c.bj").join(b, [*keys, "bi", "bj"])
+    linked, open_pairs = _judged(pairs, eps, ws)
+    done, size = [linked], side
+    while not open_pairs.isEmpty():
+        few = open_pairs.where(F.col("am") * F.col("bm") <= LISTED)
+        many = open_pairs.where(F.col("am") * F.col("bm") > LISTED)
+        cell = lambda v, s=size: F.floor(F.col(v) / s)
+        own = full.select("node", "x", "y", cell("x").alias("i"), cell("y").alias("j"))
+        one, two = (own.select(*(F.col(c).alias(f"{e}{c}") for c in own.columns)) for e in "ab")
+        d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
+        listed = few.select("anode", "ai", "aj", "bnode", "bi", "bj").join(one, ["anode", "ai", "aj"]).join(two, ["bnode", "bi", "bj"])
+        found = ws.table(listed.where(d2 <= eps * eps).select("anode", "bnode").distinct(), "listed")
+        done.append(found)
+        size /= 2
+        parts = _boxes(full.join(many.select(F.col("anode").alias("node")).union(many.select("bnode")).distinct(), "node", "left_semi"), keys, size)
+        parts = ws.table(parts, "parts")
+        halves = [many.select("anode", "bnode", "ai", "aj", "bi", "bj").join(found, ["anode", "bnode"], "left_anti")]
+        for e in "ab":
+            own = _end(parts, e).withColumns({"_i": F.shiftright(f"{e}i", 1), "_j": F.shiftright(f"{e}j", 1)}).drop(*keys)
+            up = halves[-1].withColumnsRenamed({f"{e}i": "_i", f"{e}j": "_j"})
+            halves.append(up.join(own, [f"{e}node", "_i", "_j"]).drop("_i", "_j"))
+        linked, open_pairs = _judged(halves[-1], eps, ws)
+        done.append(linked)
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+
+
+def _boxes(points: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """(keys, node, i, j, m, x0, x1, y0, y1) of each node's points in each cell of side ``size``."""
+    cell = lambda v: F.floor(F.col(v) / size).alias("i" if v == "x" else "j")
+    extent = (fn(v).alias(f"{v}{k}") for v in "xy" for k, fn in ((0, F.min), (1, F.max)))
+    return points.select(*keys, "node", "x", "y", cell("x"), cell("y")).groupBy(*keys, "node", "i", "j").agg(F.count("*").alias("m"), *extent)
+
+
+def _end(boxes: DataFrame, e: str) -> DataFrame:
+    return boxes.withColumnsRenamed({c: f"{e}{c}" for c in ("node", "i", "j", "m", "x0", "x1", "y0", "y1")})
+
+
+def _judged(pairs: DataFrame, eps: float, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(linked pairs of nodes, pairs of boxes that their boxes don't decide, of nodes that aren't linked yet)."""
+    zero = F.lit(0.0)
+    gap = [F.greatest(F.col(f"a{v}0") - F.col(f"b{v}1"), F.col(f"b{v}0") - F.col(f"a{v}1"), zero) for v in "xy"]
+    reach = [F.greatest(F.col(f"a{v}1") - F.col(f"b{v}0"), F.col(f"b{v}1") - F.col(f"a{v}0")) for v in "xy"]
+    square = lambda d: d[0] * d[0] + d[1] * d[1]
+    own = pairs.withColumn("sure", square(reach) <= eps * eps).where(F.col("sure") | (square(gap) <= eps * eps))
+    own = ws.table(own.select("anode", "bnode", "ai", "aj", "bi", "bj", "am", "bm", "sure"), "judged")
+    linked = own.where("sure").select("anode", "bnode").distinct()
+    return linked, own.where("not sure").drop("sure").join(linked, ["anode", "bnode"], "left_anti")
+
+
 def cluster_table(points: DataFrame, labels: DataFrame, keys: list[str], min_area: float = 0.0, max_area: float = float("inf")) -> DataFrame:
     """Count, centroid, mean nz and footprint (bounding box area) of clusters within the area limits."""
     joined = labels.join(points.select("point_id", "x", "y", "z", "nz"), "point_id")

@@ -11,17 +11,20 @@ from ..storage import Workspace
 from . import raster, tilewise
 
 
-def grid_surface(points: DataFrame, boxes: DataFrame, keys: list[str], p: Params, ws: Workspace) -> DataFrame:
+def grid_surface(points: DataFrame, boxes: DataFrame, keys: list[str], p: Params, extra: int = 1) -> DataFrame:
     """Cell minima, holes filled, opened progressively."""
-    cells = raster.with_cells(points, boxes, keys, p.ground_cell_size)
-    grid = raster.dense(raster.rasterise(cells, keys, "min"), boxes, keys, p.ground_cell_size)
-    return raster.opening(raster.nearest_fill(grid, keys, ws), keys, p.smooth_passes)
+    cells = raster.with_cells(points, boxes, keys, p.ground_cell_size, extra)
+    grid = raster.dense(raster.rasterise(cells, keys, "min"), boxes, keys, p.ground_cell_size, extra)
+    return raster.opening(raster.nearest_fill(grid, keys), keys, p.smooth_passes)
 
 
-def mean_surface(ground: DataFrame, boxes: DataFrame, keys: list[str], cell: float, ws: Workspace, extra: int = 2) -> DataFrame:
-    """Cell means of ground points, holes filled."""
+def mean_surface(ground: DataFrame, points: DataFrame, boxes: DataFrame, keys: list[str], cell: float, extra: int = 2) -> DataFrame:
+    """Cell means of ground points, holes filled; the lowest of all ``points`` in tiles of fewer than three ground points."""
     cells = raster.with_cells(ground, boxes, keys, cell, extra)
-    return raster.nearest_fill(raster.dense(raster.rasterise(cells, keys, "mean"), boxes, keys, cell, extra), keys, ws)
+    filled = raster.nearest_fill(raster.dense(raster.rasterise(cells, keys, "mean"), boxes, keys, cell, extra), keys)
+    enough = ground.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n >= 3").select(*keys)
+    poor = points.groupBy(*keys).agg(F.min("z").alias("_low")).join(enough, keys, "left_anti")
+    return filled.join(poor, keys, "left").withColumn("z", F.coalesce("_low", "z")).drop("_low")
 
 
 def cloth_surface(points: DataFrame, boxes: DataFrame, keys: list[str], p: Params, ws: Workspace) -> DataFrame:
@@ -32,7 +35,7 @@ def cloth_surface(points: DataFrame, boxes: DataFrame, keys: list[str], p: Param
     ground = tilewise.cloth_ground(
         thin, keys, resolution=p.csf_cloth_resolution, threshold=p.csf_class_threshold, rigidness=p.csf_rigidness, iterations=p.csf_iterations, slope_smooth=p.csf_slope_smooth
     )
-    surface = mean_surface(ws.table(ground, "cloth"), boxes, keys, p.csf_cloth_resolution, ws)
+    surface = mean_surface(ws.table(ground, "cloth"), points, boxes, keys, p.csf_cloth_resolution)
     if p.point_cloud_source == "slam":
         surface = raster.median(surface, keys, p.slam_zgrid_smooth_cells)
     return surface
@@ -50,13 +53,11 @@ def ground(points: DataFrame, keys: list[str], p: Params, ws: Workspace) -> Data
     boxes = ws.table(raster.origins(points, keys), "boxes")
     if p.ground_source == "from_file":
         cell, extra, threshold = p.ground_cell_size, 2, None
-        surface = mean_surface(points.where(labels.source_ground(F.col("classification"))), boxes, keys, cell, ws)
+        surface = mean_surface(points.where(labels.source_ground(F.col("classification"))), points, boxes, keys, cell)
     elif p.ground_method == "grid":
         cell, threshold = p.ground_cell_size, p.ground_threshold
         extra = 2 if p.surface_lookup == "bilinear" else 1
-        surface = grid_surface(points, boxes, keys, p, ws) if extra == 1 else raster.opening(
-            raster.nearest_fill(raster.dense(raster.rasterise(raster.with_cells(points, boxes, keys, cell, 2), keys), boxes, keys, cell, 2), keys, ws), keys, p.smooth_passes
-        )
+        surface = grid_surface(points, boxes, keys, p, extra)
     else:
         cell, extra, threshold = p.csf_cloth_resolution, 2, p.csf_class_threshold
         surface = cloth_surface(points, boxes, keys, p, ws)

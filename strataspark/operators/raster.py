@@ -6,10 +6,14 @@ All work is grouped or joined by tile and cell, so tiles are independent units o
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import Workspace
+#: Columns that one task fills together.
+STRIP = 64
 
 
 def origins(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,32 +61,58 @@ def dense(raster: DataFrame, boxes: DataFrame, keys: list[str], cell: float, ext
     return grid.join(raster, [*keys, "r", "c"], "left")
 
 
-def nearest_fill(grid: DataFrame, keys: list[str], ws: Workspace) -> DataFrame:
+def nearest_fill(grid: DataFrame, keys: list[str]) -> DataFrame:
     """Every hole gets the value of the nearest valid cell of its tile (ties: smallest row, then column).
 
-    Holes look in the 3 x 3 blocks of side R around them; what is found within R is the nearest.
-    The rest looks again with R doubled, until none is left; tiles without any value become 0.
+    An exact distance transform in two passes: windows along the rows find each cell's nearest valid
+    cell in its row, then strips of ``STRIP`` columns look up and down from each cell for the row whose
+    find is nearest. Two shuffles, no join, whatever the size of the holes; a task holds one strip.
+    Tiles without any value become 0.
     """
-    grid = ws.table(grid, "grid")
-    valid = grid.where("z is not null")
-    alive = valid.select(*keys).distinct()
-    done = [valid, grid.join(alive, keys, "left_anti").withColumn("z", F.lit(0.0))]
-    holes = grid.where("z is null").join(alive, keys, "left_semi").drop("z")
-    side = 4
-    while not holes.isEmpty():
-        block = lambda v, s=side: F.floor(F.col(v) / s)
-        known = valid.select(*keys, F.col("r").alias("vr"), F.col("c").alias("vc"), "z").withColumns({"br": F.floor(F.col("vr") / side), "bc": F.floor(F.col("vc") / side)})
-        around = F.explode(F.array(*(F.struct((block("r") + i).alias("br"), (block("c") + j).alias("bc")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        asked = holes.withColumn("b", around).select(*keys, "r", "c", "b.br", "b.bc")
-        d2 = (F.col("r") - F.col("vr")) * (F.col("r") - F.col("vr")) + (F.col("c") - F.col("vc")) * (F.col("c") - F.col("vc"))
-        best = asked.join(known, [*keys, "br", "bc"]).where(d2 <= side * side).groupBy(*keys, "r", "c").agg(F.min(F.struct(d2.alias("d2"), "vr", "vc", "z")).alias("best"))
-        filled = ws.table(best.select(*keys, "r", "c", F.col("best.z").alias("z")), "filled")
-        done.append(filled)
-        holes = ws.table(holes.join(filled, [*keys, "r", "c"], "left_anti"), "holes")
-        side *= 2
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    row = Window.partitionBy(*keys, "r").orderBy("c")
+    known = F.when(F.col("z").isNotNull(), F.struct("c", "z"))
+    before = F.last(known, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(known, ignorenulls=True).over(row.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    own = grid.select(*keys, "r", "c", before.alias("_b"), after.alias("_a"))
+    left = F.col("_a").isNull() | (F.col("c") - F.col("_b.c") <= F.col("_a.c") - F.col("c"))
+    best = F.when(F.col("_b").isNotNull() & left, F.col("_b")).otherwise(F.col("_a"))
+    own = own.withColumn("_n", best).select(*keys, "r", "c", F.col("_n.c").alias("vc"), F.col("_n.z").alias("z"), F.floor(F.col("c") / STRIP).alias("_strip"))
+    schema = T.StructType([f for f in grid.schema if f.name in (*keys, "r", "c", "z")])
+    names = schema.names
+
+    def fill(table: pa.Table) -> pa.Table:
+        r, c = (table.column(x).to_numpy().astype(np.int64) for x in "rc")
+        r, c = r - r.min(), c - c.min()
+        shape = (int(r.max()) + 1, int(c.max()) + 1)
+        d2, z = np.full(shape, np.inf), np.zeros(shape)
+        vc = table.column("vc").to_numpy()
+        found = ~np.isnan(vc) if vc.dtype.kind == "f" else np.ones(len(vc), bool)
+        at = r[found], c[found]
+        d2[at] = (vc[found] - table.column("c").to_numpy()[found]) ** 2.0
+        z[at] = table.column("z").to_numpy()[found]
+        filled = filled_columns(d2, z)[r, c]
+        return table.set_column(table.schema.get_field_index("z"), "z", pa.array(filled)).select(names)
+
+    return own.groupBy(*keys, "_strip").applyInArrow(fill, schema)
+
+
+def filled_columns(d2: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """For each cell the z of the row whose squared distance d2, seen from the cell, is least; the upper row on ties.
+
+    The rows are visited in steps away from each cell until no cell can find anything nearer.
+    """
+    best, out, rows = d2.copy(), z.copy(), len(d2)
+    for step in range(1, rows):
+        far = float(step * step)
+        if not (best >= far).any():
+            break
+        # the upper row is above all rows seen before, the lower one below
+        up = d2[:-step] + far
+        better = (up <= best[step:]) & np.isfinite(up)
+        best[step:][better], out[step:][better] = up[better], z[:-step][better]
+        down = d2[step:] + far
+        better = down < best[:-step]
+        best[:-step][better], out[:-step][better] = down[better], z[step:][better]
     return out
 
 

@@ -62,7 +62,7 @@ def _filled(spark, sf_dir, extra: int = 1, how: str = "min"):
     ws, pts = _ws(spark), _points(spark, sf_dir)
     boxes = ws.table(raster.origins(pts, KEYS), "boxes")
     cells = raster.with_cells(pts, boxes, KEYS, CELL, extra)
-    grid = raster.nearest_fill(raster.dense(raster.rasterise(cells, KEYS, how), boxes, KEYS, CELL, extra), KEYS, ws)
+    grid = raster.nearest_fill(raster.dense(raster.rasterise(cells, KEYS, how), boxes, KEYS, CELL, extra), KEYS)
     return pts, boxes, cells, ws.table(grid, "filled")
 
 

@@ -1,5 +1,7 @@
 """Operators against brute force in NumPy."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ def test_opening_and_median(spark):
 def test_nearest_fill(spark, share):
     rng = np.random.default_rng(2)
     z = np.where(rng.random((25, 19)) < share, rng.normal(size=(25, 19)).round(3), np.nan)
-    got = as_array(raster.nearest_fill(grid_frame(spark, z), KEYS, Workspace(spark, "t")), z.shape)
+    got = as_array(raster.nearest_fill(grid_frame(spark, z), KEYS), z.shape)
     valid = np.argwhere(~np.isnan(z))
     for r, c in np.ndindex(z.shape):
         if not len(valid):
@@ -98,6 +100,37 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
 
 
+def test_components_of_an_ordered_chain(spark):
+    """Rounds grow with the logarithm of a chain's length, not with the length."""
+    ws = Workspace(spark, "t")
+    chain = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components.components(chain, ws)
+    assert got.agg(F.min("component"), F.max("component"), F.count("*")).first()[:] == (0, 0, 2001)
+    assert ws._n < 1 + 2 * 15 + 1
+
+
+def test_nearest_fill_of_a_half_empty_raster():
+    rng = np.random.default_rng(3)
+    z = np.where(np.arange(300)[:, None] < 150, rng.normal(size=(300, 300)), np.nan)
+    d2 = np.where(np.isnan(z), np.inf, 0.0)
+    began = time.time()
+    got = raster.filled_columns(d2, np.nan_to_num(z))
+    assert np.array_equal(got[150:], np.broadcast_to(z[149], (150, 300))) and time.time() - began < 5
+
+
+@pytest.mark.parametrize("gap", [0.299, 0.301])
+def test_dbscan_of_crowded_cells(spark, monkeypatch, gap):
+    """Cells of thousands of points that are near at one pair only, or nowhere."""
+    monkeypatch.setattr(cluster, "LISTED", 64)
+    rng = np.random.default_rng(1)
+    left = np.vstack([rng.random((3000, 2)) * [0.05, 0.15], [[0.06, 0.07]]])
+    right = np.vstack([rng.random((3000, 2)) * [0.05, 0.15] + [0.07 + gap, 0], [[0.06 + gap, 0.07]]])
+    rows = [(k + 1, float(x), float(y), 0.0) for k, (x, y) in enumerate(np.vstack([left, right]))]
+    frame = spark.createDataFrame(rows, "point_id long, x double, y double, z double").withColumns({"tile_e": F.lit(0).cast("long"), "tile_n": F.lit(0).cast("long")})
+    found = cluster.dbscan(frame, KEYS, 0.3, 8, Workspace(spark, "t")).select("cluster").distinct().count()
+    assert found == (1 if gap <= 0.3 else 2)
+
+
 def test_halo(spark):
     xy, frame = cloud(spark, 120, 7, 30.0)
     got = {(r.point_id, r.tile_e, r.tile_n) for r in tiling.with_halo(frame, 10.0, 2.0).collect()}
