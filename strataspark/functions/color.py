@@ -29,19 +29,22 @@ def exg(red: Column, green: Column, blue: Column) -> Column:
 
 
 def has_bands(points: DataFrame, *bands: str) -> bool:
-    return all(b in points.columns for b in bands)
+    """Whether all ``bands`` are columns that hold a value; readers give absent bands as null columns."""
+    if not all(b in points.columns for b in bands):
+        return False
+    optional = [b for b in bands if points.schema[b].nullable]
+    # a band without values is seen on any row that has all: one row is read where bands are there
+    return not optional or not points.select(*optional).dropna("any").isEmpty()
 
 
 def vegetation_mask(points: DataFrame, index: str = "auto", *, ndvi_threshold=0.20, vari_threshold=0.15, exg_threshold=15.0) -> tuple[Column | None, str]:
     """(mask, index used). Auto takes NDVI with red and NIR, else VARI with RGB; otherwise (None, "unavailable")."""
-    if index == "auto":
-        index = "ndvi" if has_bands(points, "red", "nir") else "vari" if has_bands(points, "red", "green", "blue") else ""
     red, green, blue, nir = (F.col(c) for c in ("red", "green", "blue", "nir"))
     over = lambda x, t: x > F.lit(t).cast("float")
-    if index == "ndvi" and has_bands(points, "red", "nir"):
-        return over(ndvi(red, nir), ndvi_threshold), index
-    if index == "vari" and has_bands(points, "red", "green", "blue"):
-        return over(vari(red, green, blue), vari_threshold), index
-    if index == "exg" and has_bands(points, "red", "green", "blue"):
-        return over(exg(red, green, blue), exg_threshold), index
+    if index in ("auto", "ndvi") and has_bands(points, "red", "nir"):
+        return over(ndvi(red, nir), ndvi_threshold), "ndvi"
+    if index in ("auto", "vari", "exg") and has_bands(points, "red", "green", "blue"):
+        if index == "exg":
+            return over(exg(red, green, blue), exg_threshold), index
+        return over(vari(red, green, blue), vari_threshold), "vari"
     return None, "unavailable"

@@ -64,7 +64,7 @@ def channel(value: Column, max_value: float = 1.0) -> Column:
 
 
 def audit(points: DataFrame, *columns: str) -> DataFrame:
-    """column, present, n, lowest, highest: a row for each of the columns asked for."""
+    """column, present, n, lowest, highest: a row for each of the columns asked for; present ones hold a value."""
     has = [c for c in columns if c in points.columns]
-    pairs = [F.struct(F.lit(c).alias("column"), F.lit(c in has).alias("present"), (F.count(c) if c in has else F.lit(0).cast("long")).alias("n"), *((fn(F.col(c).cast("double")) if c in has else F.lit(None).cast("double")).alias(a) for fn, a in ((F.min, "lowest"), (F.max, "highest")))) for c in columns]
+    pairs = [F.struct(F.lit(c).alias("column"), (F.count(c) > 0 if c in has else F.lit(False)).alias("present"), (F.count(c) if c in has else F.lit(0).cast("long")).alias("n"), *((fn(F.col(c).cast("double")) if c in has else F.lit(None).cast("double")).alias(a) for fn, a in ((F.min, "lowest"), (F.max, "highest")))) for c in columns]
     return points.agg(F.array(*pairs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")

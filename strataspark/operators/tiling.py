@@ -50,8 +50,12 @@ def with_halo(points: DataFrame, size: float, buffer: float) -> DataFrame:
 
     Every point is sent to the tiles of its 3 x 3 neighbourhood that it may concern: those whose
     nominal square, which holds the box, is within the buffer. That is one shuffle, whatever the
-    number of tiles; the buffer is at most a tile's size.
+    number of tiles. Corners are whole numbers, so the size must be one, and at least the buffer.
     """
+    if size != int(size) or size < 1:
+        raise ValueError(f"tile size {size} is not a whole number of metres")
+    if buffer > size:
+        raise ValueError(f"buffer {buffer} is wider than a tile of {size}")
     points = with_tile(points, size)
     box = points.groupBy(*TILE).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
     steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]

@@ -46,6 +46,12 @@ def classify(points: DataFrame, params: Params | None = None) -> Classified:
         mask, _ = color.vegetation_mask(points, p.vegetation_index, ndvi_threshold=p.ndvi_threshold, vari_threshold=p.vari_threshold, exg_threshold=p.exg_threshold)
     points = points.withColumn("_veg", F.lit(False) if mask is None else F.coalesce(mask, F.lit(False)))
     halo = ws.table(tiling.with_halo(points, p.tile_size, p.buffer_m), "halo")
+    poor = None
+    if p.ground_source == "from_file":
+        # tiles whose labels can't make a surface are left as they are
+        poor = ws.table(ground.support(halo.where("is_core"), KEYS).where("not enough").select(*KEYS), "unsupported")
+        left_out = halo.where("is_core").join(poor, KEYS, "left_semi").drop("is_core", "_veg")
+        halo = halo.join(poor, KEYS, "left_anti")
     surface_points = halo.where("not _veg or is_core") if p.mask_before_ground else halo
     heights = ws.table(ground.ground(surface_points, KEYS, p, ws).drop("is_core"), "heights")
     label = labels.base_label(F.col("ground"))
@@ -75,8 +81,12 @@ def classify(points: DataFrame, params: Params | None = None) -> Classified:
     )
     if p.classify_model_keys:
         labelled = ground.key_points(labelled, KEYS, p.modelkey_step_m)
-    out = ws.table(labelled.drop("_veg", "ground"), "classified")
-    tiles = tile_results(out, clusters, guard)
+    labelled = labelled.drop("_veg", "ground")
+    if poor is not None:
+        own = F.coalesce(F.col("classification"), F.lit(labels.UNCLASSIFIED)).cast("short")
+        labelled = labelled.unionByName(left_out.withColumns({"nz": F.lit(None).cast("double"), "class": own}))
+    out = ws.table(labelled, "classified")
+    tiles = tile_results(out, clusters, guard, poor)
     return Classified(out, clusters, tiles)
 
 
@@ -94,14 +104,18 @@ def _no_clusters(points: DataFrame) -> DataFrame:
     return points.sparkSession.createDataFrame([], f"{keys}, {kinds}")
 
 
-def tile_results(points: DataFrame, clusters: DataFrame, guard: DataFrame) -> DataFrame:
-    """(keys, status, reason, n_points, n_ground, n_bird, n_clusters)."""
+def tile_results(points: DataFrame, clusters: DataFrame, guard: DataFrame, poor: DataFrame | None = None) -> DataFrame:
+    """(keys, status, reason, n_points, n_ground, n_bird, n_clusters); ``poor`` are tiles without ground to work on."""
     n = points.groupBy(*KEYS).agg(F.count("*").alias("n_points"), F.count_if(F.col("class").isin(2, 8)).alias("n_ground"), F.count_if(F.col("class") == 20).alias("n_bird"))
     m = clusters.groupBy(*KEYS).agg(F.count("*").alias("n_clusters"))
     out = n.join(m, KEYS, "left").join(guard.select(*KEYS, F.col("status").alias("_guard")), KEYS, "left")
+    error = F.lit(None).cast("string")
+    if poor is not None:
+        out = out.join(poor.withColumn("_error", F.lit("too few ground points")), KEYS, "left")
+        error = F.col("_error")
     count = F.coalesce("n_clusters", F.lit(0)).cast("long")
-    status = labels.tile_status(count, F.lit(True), F.lit(None).cast("string"))
-    reason = F.when(F.col("_guard").isin("too few", "too many"), F.concat(F.col("_guard"), F.lit(" candidates"))).when(count == 0, "no clusters")
+    status = labels.tile_status(count, F.lit(True), error)
+    reason = F.when(error.isNotNull(), error).when(F.col("_guard").isin("too few", "too many"), F.concat(F.col("_guard"), F.lit(" candidates"))).when(count == 0, "no clusters")
     return out.select(*KEYS, status.alias("status"), reason.alias("reason"), "n_points", "n_ground", "n_bird", count.alias("n_clusters"))
 
 

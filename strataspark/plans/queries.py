@@ -232,12 +232,17 @@ def header_scan(spark, sf_dir):
     return own.agg(F.count("*").alias("n_points"), *(fn(f"{v}i").alias(f"{v}_{n}") for v in "xyz" for fn, n in ((F.min, "min"), (F.max, "max"))))
 
 
-def tile_status(spark, sf_dir):
-    """Statuses of tiles by the candidate guard, at a share that part of the tiles exceed."""
+def _tile_results(spark, sf_dir):
+    """Statuses of tiles by the candidate guard, at a share that part of the tiles exceed; a cluster stands for each candidate."""
     own, found = _candidates(spark, sf_dir)
-    table = cluster.guard(found, own, KEYS, 8, 0.02)
-    status = F.when(F.col("status") == "ok", "PROCESSED").otherwise("SKIPPED")
-    return table.select(*KEYS, status.alias("status"), F.when(F.col("status") != "ok", F.col("status")).alias("reason"))
+    table = _ws(spark).table(cluster.guard(found, own, KEYS, 8, 0.02), "guard")
+    clusters = table.where("status = 'ok'").select(*KEYS, F.explode(F.sequence(F.lit(1), F.col("n_candidates"))).alias("cluster_id"))
+    points = own.withColumn("class", labels.base_label(F.col("ground")))
+    return classify.tile_results(points, clusters, table)
+
+
+def tile_status(spark, sf_dir):
+    return _tile_results(spark, sf_dir).select(*KEYS, "status", "reason", "n_points", "n_ground", "n_clusters")
 
 
 # -- sensors and drawings --------------------------------------------------------------------------
@@ -286,8 +291,7 @@ def ground_support(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    tiles = tile_status(spark, sf_dir).withColumn("n_clusters", F.lit(1).cast("long"))
-    return classify.run_summary(tiles)
+    return classify.run_summary(_tile_results(spark, sf_dir))
 
 
 def rgb_audit(spark, sf_dir):
@@ -374,7 +378,17 @@ _FOUND = f"""{_HEIGHTS},
 found as (select * from heights where nz between 0.02e0 and 0.40e0 and not ground)"""
 _GUARD = f"""{_FOUND},
 guard as (select p.te, p.tn, p.n as n_points, coalesce(m.n, 0) as n_candidates from (select te, tn, count(*) n from heights group by te, tn) p left join (select te, tn, count(*) n from found group by te, tn) m using (te, tn))"""
+_STATUS = f"""{_GUARD}, soil as (select te, tn, count(*) filter (ground) n_ground from heights group by te, tn),
+st as (select te, tn, n_points, n_ground, case when n_candidates < 8 or n_candidates / n_points > 0.02e0 then 0 else n_candidates end as n_clusters,
+  case when n_candidates < 8 or n_candidates / n_points > 0.02e0 then 'SKIPPED' else 'PROCESSED' end as status,
+  case when n_candidates < 8 then 'too few candidates' when n_candidates / n_points > 0.02e0 then 'too many candidates' end as reason from guard join soil using (te, tn))"""
 _FILLED = f"with {_PTS},\n{_BOX},\n{_cells()},\n{_raster()}"
+_CLUSTERS = """pairs as (select a.te, a.tn, a.point_id a, b.point_id b from found a join found b on a.te = b.te and a.tn = b.tn and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.3e0 * 0.3e0),
+core as (select a id from pairs group by a having count(*) >= 8),
+edges as (select a, b from pairs where a in (select id from core) and b in (select id from core)),
+reach(id, root) as (select a, b from edges union select r.id, e.b from reach r join edges e on r.root = e.a),
+comp as (select id, min(root) cluster from reach group by id),
+member as (select p.a id, min(c.cluster) cluster from pairs p join comp c on p.b = c.id group by p.a)"""
 _T = "te as tile_e, tn as tile_n"
 _SINGLE = {
     "ndvi": ("(case when (nir::float + red::float) > 0 then (nir::float - red::float) / (nir::float + red::float) else 0::float end) > 0.2::float", "ndvi"),
@@ -388,6 +402,24 @@ def _veg_sql(index: str) -> str:
     return f"with {_PTS} select point_id, {test} as vegetation, '{used}' as index_used from pts"
 
 
+def _lidar() -> str:
+    """The whole lidar mode: halo, grid ground, candidates, clusters, labels, key points."""
+    halo = f"""all_pts as ({_PTS.split("as (", 1)[1]},
+tiles as (select te, tn, min(x) x0, min(y) y0, max(x) x1, max(y) y1 from all_pts group by te, tn),
+pts as (select p.* exclude (te, tn), t.te, t.tn, p.te = t.te and p.tn = t.tn as is_core from all_pts p join tiles t
+  on p.te between t.te - 20 and t.te + 20 and p.tn between t.tn - 20 and t.tn + 20 and p.x between t.x0 - 5 and t.x1 + 5 and p.y between t.y0 - 5 and t.y1 + 5)"""
+    steps = _FOUND.replace(f"with {_PTS}", f"with recursive {halo}", 1).replace("join surface s using (te, tn, r, c))", "join surface s using (te, tn, r, c) where is_core)")
+    return f"""{steps},
+allowed as (select f.* from found f join (select te, tn, count(*) n from heights group by te, tn) p using (te, tn) join (select te, tn, count(*) n from found group by te, tn) m using (te, tn) where m.n >= 8 and m.n / p.n <= 0.05e0),
+{_CLUSTERS.replace("found", "allowed")},
+sized as (select te, tn, cluster, (max(x) - min(x)) * (max(y) - min(y)) a from member join allowed on id = point_id group by te, tn, cluster),
+birds as (select distinct id from member join allowed on id = point_id join sized using (te, tn, cluster) where a between 0.005e0 and 1),
+labelled as (select h.*, case when ground then 2 when b.id is not null then 20 else {_CASE} end as class from heights h left join birds b on b.id = h.point_id),
+soil as (select te, tn, min(x) x0, min(y) y0 from labelled where class = 2 group by te, tn),
+keys as (select arg_min(point_id, (z, point_id)) point_id from labelled join soil using (te, tn) where class = 2 group by te, tn, floor((y - y0) / 8.0e0), floor((x - x0) / 8.0e0))
+select case when k.point_id is not null then 8 else class end as class, count(*) n from labelled l left join keys k using (point_id) group by 1"""
+
+
 _SQL = {
     "grid_min_raster": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, round(min(z), 9) + 0 z from cells group by te, tn, r, c",
     "grid_mean_raster": f"with {_PTS},\n{_BOX},\n{_cells()} select {_T}, r, c, round(avg(z), 9) + 0 z from cells group by te, tn, r, c",
@@ -419,21 +451,17 @@ select arg_min(point_id, (z, point_id)) point_id, {_T} from own join box using (
     "veg_auto": _veg_sql("auto"),
     "bird_candidates": f"{_FOUND} select point_id, round(nz, 9) + 0 nz from found",
     "candidate_guard": f"{_GUARD} select {_T}, n_points, n_candidates, case when n_candidates < 8 then 'too few' when n_candidates / n_points > 0.05e0 then 'too many' else 'ok' end as status from guard",
-    "tile_status": f"""{_GUARD} select {_T}, case when n_candidates < 8 or n_candidates / n_points > 0.02e0 then 'SKIPPED' else 'PROCESSED' end as status,
-case when n_candidates < 8 then 'too few' when n_candidates / n_points > 0.02e0 then 'too many' end as reason from guard""",
+    "tile_status": f"{_STATUS} select {_T}, status, reason, n_points, n_ground, n_clusters from st",
     "bird_clusters": _FOUND.replace("with ", "with recursive ", 1) + f""",
-pairs as (select a.te, a.tn, a.point_id a, b.point_id b from found a join found b on a.te = b.te and a.tn = b.tn and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.3e0 * 0.3e0),
-core as (select a id from pairs group by a having count(*) >= 8),
-edges as (select a, b from pairs where a in (select id from core) and b in (select id from core)),
-reach(id, root) as (select a, b from edges union select r.id, e.b from reach r join edges e on r.root = e.a),
-comp as (select id, min(root) cluster from reach group by id),
-member as (select p.a id, min(c.cluster) cluster from pairs p join comp c on p.b = c.id group by p.a)
+{_CLUSTERS}
 select {_T}, cluster as cluster_id, count(*) point_count, round(avg(x), 9) x_centroid, round(avg(y), 9) y_centroid, round(avg(z), 9) z_centroid, round(avg(nz), 9) nz_mean, round((max(x) - min(x)) * (max(y) - min(y)), 9) footprint_m2
 from member join found on id = point_id group by te, tn, cluster having (max(x) - min(x)) * (max(y) - min(y)) between 0.005e0 and 1""",
-    "voxel_downsample_2d": f"with {_PTS} select min(point_id) point_id from pts where intensity < 8192 group by te, tn, floor(x / 0.1e0), floor(y / 0.1e0)",
+    "classify_lidar": _lidar(),
+    "voxel_downsample_2d": f"with {_PTS} select min(point_id) point_id from pts group by te, tn, floor(x / 0.1e0), floor(y / 0.1e0)",
     "voxel_downsample_3d": f"with {_PTS} select min(point_id) point_id from pts group by te, tn, floor(x / 0.25e0), floor(y / 0.25e0), floor(z / 0.25e0)",
-    "cluster_expansion": f"""with {_PTS}, members as (select * from pts where zi between 60 and 400 and classification = 1 and point_id % 3 = 0)
-select distinct p.point_id, m.te as cluster from pts p join members m on p.te = m.te and p.tn = m.tn and abs(p.x - m.x) <= 0.31e0 and (p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) <= 0.3e0 * 0.3e0 where p.intensity < 4096""",
+    "cluster_expansion": f"""with {_PTS}, members as (select *, floor(x / 0.3e0)::int i, floor(y / 0.3e0)::int j from pts where zi between 60 and 400 and classification = 1),
+asked as (select *, floor(x / 0.3e0)::int + di as i, floor(y / 0.3e0)::int + dj as j from pts, (select unnest(range(-1, 2)) di) a, (select unnest(range(-1, 2)) dj) b)
+select distinct p.point_id, m.te as cluster from asked p join members m using (te, tn, i, j) where (p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) <= 0.3e0 * 0.3e0""",
     "tile_assign": f"with {_PTS} select point_id, (floor(x / 15.0e0) * 15)::bigint tile_e, (floor(y / 15.0e0) * 15)::bigint tile_n from pts",
     "tile_index_bbox": f"""with {_PTS}, {_BOX}, n as (select te, tn, count(*) n_points from pts group by te, tn)
 select {_T}, n_points, x1 <= x0 or y1 <= y0 as degenerate, round(x0, 9) xmin, round(x1, 9) xmax, round(y0, 9) ymin, round(y1, 9) ymax, round((x0 + x1) / 2, 9) cx, round((y0 + y1) / 2, 9) cy, round(greatest(x1 - x0, y1 - y0) * 0.03e0, 9) label_height from box join n using (te, tn)""",
@@ -454,8 +482,7 @@ select point_id, round(case when k is null then x else (1 - 2 * (0.8e0 * 0.8e0))
 round(case when k is null then z else z + 1.5e0 end, 9) z, trunc(least(greatest(red / 65535e0, 0), 1) * 65535)::int red, trunc(least(greatest(green::double, 0), 1) * 65535)::int green, trunc(least(greatest(green / 65535e0, 0), 1) * 65535)::int green_scaled from v""",
     "scan_count": f"with {_PTS} select count(distinct scan_id) n_scans from pts",
     "ground_support": f"with {_PTS} select {_T}, count(*) filter (classification in (2, 8)) n_ground, count(*) filter (classification in (2, 8)) >= 50 as enough from pts group by te, tn",
-    "run_summary": f"""{_GUARD}, st as (select case when n_candidates < 8 or n_candidates / n_points > 0.02e0 then 'OTHER' else 'PROCESSED' end as status from guard)
-select status, count(*) n_tiles, count(*) n_clusters from st group by status""",
+    "run_summary": f"{_STATUS} select case when status = 'PROCESSED' then status else 'OTHER' end as status, count(*) n_tiles, sum(n_clusters)::bigint n_clusters from st group by 1",
     "rgb_audit": f"""with {_PTS} select 'red' as "column", true as present, count(red) n, min(red)::double lowest, max(red)::double highest from pts union all select 'green', true, count(green), min(green), max(green) from pts
 union all select 'blue', true, count(blue), min(blue), max(blue) from pts union all select 'nir', true, count(nir), min(nir), max(nir) from pts union all select 'gps_time', false, 0, null, null""",
     "block_dedupe": """with blocks as (select distinct p_brand as name, 2.0e0 as width, 4.0e0 as height from part where p_brand <> 'Brand#11'
