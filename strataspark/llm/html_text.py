@@ -1,31 +1,41 @@
 """Main text of web pages by line-block distribution.
 
-Markup becomes lines, one for each block element. The text lengths of ``SPAN`` lines from each line
-on are summed; where the sums surge above ``THRESHOLD`` the text begins, where they dive to nothing
-it ends, and lines between are kept. Lines of menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments count as empty, links count nothing towards a line's length,
-and where a page marks its article, lines outside count as empty and lines inside as long ones, so
-that surge and dive fall on its borders.
+Markup becomes blocks of text, one for each block element; blocks without text are no blocks. A
+block's length is its characters outside links, weighed by its markup: a block inside an
+<article> or <main> counts ``THRESHOLD`` characters more, on a page that has one a block outside
+counts a ``OUTSIDE``-th, and menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+and reader comments are gaps of no length. Lengths are summed over windows of ``SPAN`` blocks on every
+page. Where a window's sum surges above ``THRESHOLD`` text begins, at the window's first heading or
+block of its share; where the sum of the next window dives below ``DIVE`` it ends; blocks between are kept.
+
+Null and empty pages, and pages without text, give an empty text. Rows that repeat are extracted each
+for itself; other columns of the table are ignored, whatever their names. Unclosed and unmatched
+tags, quotes and comments are defined too, and each page takes time linear in its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPAN, THRESHOLD = 3, 86
+SPAN, THRESHOLD, DIVE, OUTSIDE = 3, 86, 43, 20
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-_LOOSE = re.compile(r"</?[a-zA-Z][^<>]*>")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)", re.S)
+#: Tags of a page whose quotes don't end, from there on.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)")
 _SPACE = re.compile(r"\s+")
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
-_RAW = frozenset("script style noscript template svg iframe textarea title object math".split())
+# HTML elements by kind, and the names by which pages call their boilerplate.
+_RAW = frozenset("script style noscript template svg iframe textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header "
@@ -33,13 +43,24 @@ _BLOCKS = frozenset(
 )
 _LEFT_OUT = frozenset("nav footer aside form dialog menu button select search".split())
 _MARKED = frozenset("article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CONTAINERS = frozenset("center dd details dir div dl fieldset figure header hgroup li ol section table tbody td tr ul".split())
 _CLOSES_P = _BLOCKS - {"html", "body", "head"}
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comments comment disqus replies reply respond related recommended share sharing social widget toolbar "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comments comment disqus replies reply respond related recommended share sharing social toolbar "
     "pagination pager copyright".split()
 )
+_NEUTRAL_NAMES = frozenset("area bar block bottom box buttons center container footer global header inner items left links list main page panel right section site slot small top unit widget wrap wrapper".split())
+
+
+def _boilerplate(token: str) -> bool:
+    """Whether a class or id is a known name, or is made of such names and of words that say only where it stands."""
+    if token.lower() in _BAD_NAMES:
+        return True
+    parts = {x.lower() for x in _PARTS.findall(token)}
+    return not parts.isdisjoint(_BAD_NAMES) and parts <= _BAD_NAMES | _NEUTRAL_NAMES
 
 
 def _left_out(name: str, attributes: str, marked: bool) -> bool:
@@ -48,47 +69,78 @@ def _left_out(name: str, attributes: str, marked: bool) -> bool:
     if not attributes or name in _MARKED or name in ("html", "body"):
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and not _BAD_NAMES.isdisjoint(_WORDS.findall(value)):
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id") and name in _CONTAINERS and any(map(_boilerplate, value.split())):
             return True
+        value = value.lower()
         if key == "role" and value in _BAD_ROLES or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
+    return bool(_HIDDEN.search(attributes))
+
+
+class Block(NamedTuple):
+    """A block of text; gaps, which stand for what is left out, have none."""
+
+    text: str
+    size: int  # characters outside links
+    marked: bool  # inside an article
+    heading: bool
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, characters outside links, inside a marked article) of each line kept; and whether the page marks its article.
+_GAP = Block("", 0, False, False)
 
-    Lines left out are empty texts.
-    """
-    lines: list[tuple[str, int, bool]] = []
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page in order."""
+    blocks: list[Block] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is left out
-    skipping = marked = links = 0
-    linked, any_marked = 0, False
-    at, n = 0, len(page)
+    open_names: Counter[str] = Counter()
+    open_blocks: list[int] = []  # places of block elements in the stack
+    skipping = marked = links = linked = headings = 0
+    tag, at, n = _TAG, 0, len(page)
 
-    def end_line() -> None:
+    def end_block() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        if text or not lines or lines[-1][0]:
-            lines.append((text, max(len(text) - linked, 0), bool(marked)))
+        if text:
+            blocks.append(Block(text, max(len(text) - linked, 0), bool(marked), bool(headings)))
         parts.clear()
         linked = 0
 
     def take(text: str) -> None:
         nonlocal linked
-        if text and not skipping:
+        if skipping:
+            if not text.isspace() and (not blocks or blocks[-1] is not _GAP):
+                blocks.append(_GAP)
+        else:
             parts.append(text)
             if links:
                 linked += len(text)
 
+    def push(name: str, out: bool) -> None:
+        nonlocal skipping, marked, links, headings
+        if out:
+            end_block()
+        if name in _BLOCKS:
+            open_blocks.append(len(stack))
+        stack.append((name, out))
+        open_names[name] += 1
+        skipping += out
+        marked += name in _MARKED
+        links += name == "a"
+        headings += name in _HEADINGS
+
     def pop() -> None:
-        nonlocal skipping, marked, links
+        nonlocal skipping, marked, links, headings
         name, out = stack.pop()
+        if name in _BLOCKS:
+            open_blocks.pop()
+        open_names[name] -= 1
         skipping -= out
         marked -= name in _MARKED
         links -= name == "a"
+        headings -= name in _HEADINGS
 
     while at < n:
         lt = page.find("<", at)
@@ -97,13 +149,16 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             break
         if lt > at:
             take(page[at:lt])
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        m = tag.match(page, lt)
+        if m is None and tag is _TAG and page[lt + 1 : lt + 2].isalpha():
+            tag = _LOOSE
+            m = tag.match(page, lt)
         if m is None:
             take("<")
             at = lt + 1
             continue
         at = m.end()
-        if m.re is _LOOSE or not m[2]:
+        if not m[2]:
             continue
         close, name = m[1], m[2].lower()
         if name in _RAW:
@@ -112,60 +167,63 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 at = n if end is None else max(page.find(">", end.end()) + 1, end.end())
             continue
         if name in _BLOCKS:
-            end_line()
+            end_block()
         elif name in ("br", "td", "th"):
             take(" ")
         if close:
-            if any(x[0] == name for x in stack):
+            if open_names[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
         elif name not in _VOID and not m[3].endswith("/"):
-            if name in _CLOSES_P:  # an open paragraph ends, with what is open in it
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _BLOCKS), -1)
-                if depth >= 0 and stack[depth][0] == "p":
-                    while len(stack) > depth:
-                        pop()
+            if name in _CLOSES_P and open_blocks and stack[open_blocks[-1]][0] == "p":
+                depth = open_blocks[-1]  # an open paragraph ends, with what is open in it
+                while len(stack) > depth:
+                    pop()
             if name in _MARKED:
                 while skipping and not marked:  # an article doesn't stand in a menu: that one wasn't closed
                     pop()
-                any_marked = True
-            out = _left_out(name, m[3], bool(marked))
-            stack.append((name, out))
-            skipping += out
-            marked += name in _MARKED
-            links += name == "a"
-    end_line()
-    return lines, any_marked
+            push(name, _left_out(name, m[3], bool(marked)))
+    end_block()
+    return blocks
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the main text joined by newlines; empty if there is none."""
-    lines, any_marked = lines_of(page or "")
+def kept_blocks(blocks: list[Block]) -> list[int]:
+    """Places of the blocks between surges and dives; of the longest run of blocks if nothing surges."""
+    any_marked = any(b.marked for b in blocks)
     if any_marked:
-        sizes = [max(len(t), THRESHOLD + 1) if t and inside else 0 for t, _, inside in lines]
+        sizes = [b.size + THRESHOLD if b.marked else b.size // OUTSIDE for b in blocks]
     else:
-        sizes = [size if t else 0 for t, size, _ in lines]
-    sums = [sum(sizes[i : i + SPAN]) for i in range(len(sizes))]
+        sizes = [b.size for b in blocks]
+    sums = [sum(sizes[i : i + SPAN]) for i in range(len(sizes))] + [0]
     kept: list[int] = []
     i = 0
-    while i < len(sums):
-        if sizes[i] and sums[i] > THRESHOLD:  # surge
-            while i < len(sums) and sums[i]:
-                kept.append(i)
-                i += 1
-        else:
+    while i < len(blocks):
+        if sums[i] <= THRESHOLD:
+            i += 1
+            continue
+        while SPAN * sizes[i] <= THRESHOLD and not (blocks[i].heading and blocks[i].marked == any_marked):
+            i += 1  # the window's sum is above the threshold, so one of its blocks has its share
+        kept.append(i)
+        while sums[i + 1] >= DIVE:
             i += 1
-    if not kept and any(sizes):  # too short to surge: the longest run of lines with text
-        runs, run = [], []
-        for i, size in enumerate([*sizes, 0]):
+            kept.append(i)
+        i += 1
+    if not kept and any(sizes):
+        runs: list[list[int]] = [[]]
+        for i, size in enumerate(sizes):
             if size:
-                run.append(i)
-            elif run:
-                runs.append(run)
-                run = []
-        kept = max(runs, key=lambda r: (sum(sizes[i] for i in r), -r[0]))
-    return "\n".join(lines[i][0] for i in kept if lines[i][0] and (lines[i][2] or not any_marked))
+                runs[-1].append(i)
+            elif runs[-1]:
+                runs.append([])
+        kept = max(runs, key=lambda r: (sum(sizes[i] for i in r), -r[0] if r else 0))
+    return [i for i in kept if blocks[i].text]
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the main text joined by newlines; empty if there is none."""
+    blocks = blocks_of(page or "")
+    return "\n".join(blocks[i].text for i in kept_blocks(blocks))
 
 
 def _extract(batches):

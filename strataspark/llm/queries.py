@@ -114,12 +114,13 @@ from words w left join base b on w.id = b.id left join found f on w.id = f.id
 """
 
 
+#: References as in HTML, where the old names go without a semicolon too.
 _OP6 = r"""
 with blocks as (
   select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') as raw from pages),
 texts as (
-  select page_id, url, list_filter(list_transform(raw, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(
-    regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as bs
+  select page_id, url, list_filter(list_transform(raw, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', chr(39), 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') as bs
   from blocks)
 select page_id, url, array_to_string(bs, chr(10)) as text, length(array_to_string(bs, chr(10)))::bigint as n_chars from texts
 """

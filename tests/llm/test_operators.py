@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -252,6 +253,50 @@ def test_main_text():
     assert html_text.main_text(plain).count("word") >= 80 and "Menu" not in html_text.main_text(plain)
 
 
+def brute_kept(sizes, headings):
+    """Surges and dives by their definition, on blocks without markup."""
+    kept, i = set(), 0
+    window = lambda k: sum(sizes[k : k + 3])
+    while i < len(sizes):
+        if window(i) > 86:
+            i = next(j for j in range(i, i + 3) if sizes[j] * 3 > 86 or headings[j])
+            end = next(j for j in range(i, len(sizes)) if window(j + 1) < 43)
+            kept |= set(range(i, end + 1))
+            i = end
+        i += 1
+    return kept
+
+
+def test_line_blocks_without_markup():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        sizes = [int(rng.choice([3, 12, 30, 60, 200])) for _ in range(int(rng.integers(1, 25)))]
+        headings = [bool(rng.random() < 0.15) for _ in sizes]
+        texts = [f"{k:02d}" + "x" * (n - 2) for k, n in enumerate(sizes)]
+        page = "".join(f"<h2>{t}</h2>" if h else f"<div>{t}</div>" for t, h in zip(texts, headings, strict=True))
+        want = brute_kept(sizes, headings)
+        if want:
+            assert html_text.main_text(page) == "\n".join(texts[k] for k in sorted(want))
+        else:
+            assert html_text.main_text(page) == "\n".join(texts)
+
+
+def test_surge_dive_and_names():
+    long = "word " * 40
+    blocks = lambda page: html_text.main_text(page).split("\n")
+    assert len(blocks(f"<p>{long}</p>" + "<p>short</p>" * 30)) == 1
+    assert blocks(f"<div>Menu</div><h1>Big headline</h1><p>By A. B.</p><p>{long}</p><div class='site-footer'>{long}</div><p>{long}</p>")[:2] == ["Big headline", "By A. B."]
+    assert blocks("<article><p class='share price'>x</p><p class='ad hoc'>y</p><div class='cookie-notice'>N</div><div class='share-price'>z</div><p>w <math>a+b</math></p></article><div>out</div>") == ["x", "y", "z", "w a+b"]
+    assert blocks(f"<article><p>in</p></article><div>{long}</div>") == ["in"]
+
+
+@pytest.mark.parametrize("page", ["<i>" * 40000 + "</b>" * 40000, '<a "' * 40000, "<div>" + "<i>" * 40000 + "<p>x</p>" * 40000, "<!" * 80000, "<a href='x" * 40000 + ">" * 40000, "<nav>" * 20000 + "<article>x</article>" * 20000, "<p>" + "long text &amp; " * 200000])
+def test_odd_and_long_pages_take_linear_time(page):
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 10
+
+
 def test_pages_of_odd_rows(spark):
     frame = spark.createDataFrame([(1, None, None, 1), (None, "u", "", 2)], "page_id long, url string, html string, text int")
     assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(frame).collect()} == {(1, "", 0), (None, "", 0)}
