@@ -2,10 +2,13 @@
 
 Equal vectors are one node. A neighbour graph starts from the cells of random-projection trees
 (fitted on a bounded sample; every vector goes down every tree; what is still too large is halved
-by hyperplanes of its own) and is refined by NN-descent until few lists change: each round joins nodes with their neighbours' neighbours, as the members around each node with their
-vectors, and keeps each node's best ``K``. Queries start at their own node and expand the best
-nodes of a beam, by joins with graph and vectors, until none is left to expand. What the beam holds at last is
-scored on the original vectors in double precision.
+by hyperplanes of its own) and is refined by NN-descent until few lists change: each round brings
+together, around each node, its best neighbours and the nodes it is a best neighbour of, compares the
+pairs of which one came in the last round, and keeps each node's best ``K``. Queries start from their own
+node's list and expand the best ``BEAM`` nodes found, by joins with graph and vectors, until none of
+these is left to expand. Graph and search work on vectors of two bytes a component, whose inner products are
+whole numbers times both scales and so are the same wherever they are computed; what the search ends
+with is scored on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ from pyspark.sql import functions as F
 
 from ..storage import Workspace
 
-K = 40
+K = 64
 #: MOST_LEAVES bounds the trees that are broadcast; cells that are too large after them are halved by joins.
-TREES, CELL, SAMPLE, MOST_LEAVES = 10, 256, 8192, 2048
-#: Least rounds of NN-descent; more follow until at most this share of list places changes in a round.
-ROUNDS, MEMBERS, CHANGED = 4, 32, 0.001
-EXPANDED, BEAM, RESCORED = 24, 320, 60
+TREES, CELL, SAMPLE, MOST_LEAVES, FROM_CELL = 6, 256, 8192, 2048, 24
+#: Neighbours each way that meet around a node, new neighbours that a node takes from one meeting, and the
+#: share of list places that change in a round after which no round follows.
+MEMBERS, TAKEN, CHANGED = 56, 8, 0.02
+#: Nodes that a query expands at last, those of one step, those it holds, and those it scores exactly.
+BEAM, EXPANDED, HELD, RESCORED = 96, 64, 256, 64
 
-_LISTS = "id long, ids array<long>, scores array<float>"
+_NODE = "id long, x binary, s float"
+_LISTS = f"{_NODE}, ids array<long>, scores array<float>, fresh array<boolean>"
 
 
 def _whole_groups(batches, key: str) -> Iterator[pa.RecordBatch]:
@@ -52,15 +58,30 @@ def _matrix(column, dim: int, kind=np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
 
 
-def _list_batch(owners, rows) -> pa.RecordBatch:
-    """A batch of _LISTS from owners and (ids, scores) rows."""
-    ptr = np.r_[0, np.cumsum([len(r[0]) for r in rows])].astype(np.int32)
-    ids = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-    scores = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.float32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(owners, pa.int64()), pa.ListArray.from_arrays(ptr, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(ptr, pa.array(scores, pa.float32()))],
-        names=["id", "ids", "scores"],
-    )
+def _whole(column, dim: int) -> np.ndarray:
+    """Vectors of whole numbers as floats in which sums of their products are exact."""
+    return _matrix(column, dim, np.int16).astype(np.float64)
+
+
+def _unit(column, dim: int) -> np.ndarray:
+    x = _matrix(column, dim, np.int16).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def quantised(e: np.ndarray) -> tuple[bytes, float]:
+    """A vector as 16-bit whole numbers and their scale."""
+    largest = np.abs(e).max()
+    scale = np.float32(np.clip(largest / 32767, np.finfo(np.float32).tiny, np.finfo(np.float32).max))
+    return np.rint(e / np.float64(scale)).clip(-32767, 32767).astype(np.int16).tobytes(), float(scale)
+
+
+def _list_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A batch of _LISTS from (owners, lengths of their lists, ids, scores): new neighbours."""
+    owners, sizes, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+    ptr = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    lists = [pa.ListArray.from_arrays(ptr, pa.array(v, k)) for v, k in ((ids, pa.int64()), (scores, pa.float32()), (np.ones(len(ids), bool), pa.bool_()))]
+    n = len(owners)
+    return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float32()), *lists], names=["id", "x", "s", "ids", "scores", "fresh"])
 
 
 def _classes(keep: int):
@@ -85,13 +106,12 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary())], names=["vec_id", "key"])
 
 
-def _trees(sample: np.ndarray, leaves: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _trees(unit: np.ndarray, leaves: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """TREES complete trees of hyperplanes between two random points, cut at the sample's median."""
     rng = np.random.Generator(np.random.Philox(seed))
-    depth, out = leaves.bit_length() - 1, []
-    unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)
+    out = []
     for _ in range(TREES):
-        normals, cuts = np.zeros((leaves, sample.shape[1]), np.float32), np.zeros(leaves, np.float32)
+        normals, cuts = np.zeros((leaves, unit.shape[1]), np.float32), np.zeros(leaves, np.float32)
         cells = {1: np.arange(len(unit))}
         for node in range(1, leaves):
             own = cells.pop(node)
@@ -105,25 +125,23 @@ def _trees(sample: np.ndarray, leaves: int, seed: int) -> list[tuple[np.ndarray,
             right = unit[own] @ normal > cuts[node]
             cells[2 * node], cells[2 * node + 1] = own[~right], own[right]
         out.append((normals, cuts))
-    del depth
     return out
 
 
 def _cells(state, dim: int):
-    """(cell, id) for each tree."""
+    """(cell, id, x, s) for each tree."""
 
     def run(batches):
         trees = state.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("x"), dim)
-            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+            unit = _unit(batch.column("x"), dim)
             for t, (normals, cuts) in enumerate(trees):
-                node = np.ones(len(x), np.int64)
+                node = np.ones(len(unit), np.int64)
                 for _ in range(len(cuts).bit_length() - 1):
                     node = 2 * node + ((unit * normals[node]).sum(1) > cuts[node])
-                yield pa.RecordBatch.from_arrays([pa.array(t * 2 * len(cuts) + node), batch.column("id")], names=["cell", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(t * 2 * len(cuts) + node), *batch.columns], names=["cell", *batch.schema.names])
 
     return run
 
@@ -133,8 +151,7 @@ def _splits(dim: int):
 
     def run(batches):
         for batch in _whole_groups(batches, "cell"):
-            cells, x = batch.column("cell").to_numpy(), _matrix(batch.column("x"), dim)
-            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+            cells, unit = batch.column("cell").to_numpy(), _unit(batch.column("x"), dim)
             borders, rows = _borders(cells), []
             for lo, hi in zip(borders[:-1], borders[1:], strict=True):
                 if hi == lo:
@@ -153,113 +170,127 @@ def _splits(dim: int):
 
 
 def _sides(dim: int):
-    """(cell, id, side): rows on the cut go by ``coin``, so that equal projections part too."""
+    """(cell, id, x, s, side): rows on the cut go by ``coin``, so that equal projections part too."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, normal, cut = _matrix(batch.column("x"), dim), _matrix(batch.column("normal"), dim), batch.column("cut").to_numpy()
-            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-            at = (unit * normal).sum(1)
+            normal, cut = _matrix(batch.column("normal"), dim), batch.column("cut").to_numpy()
+            at = (_unit(batch.column("x"), dim) * normal).sum(1)
             coin = batch.column("coin").to_numpy(zero_copy_only=False)
             side = np.where(at == cut, coin, at > cut)
-            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("id"), pa.array(side.astype(np.int64))], names=["cell", "id", "side"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "id", "x", "s")), pa.array(side.astype(np.int64))], names=["cell", "id", "x", "s", "side"])
 
     return run
 
 
+def _best(scores: np.ndarray, owners: np.ndarray, others: np.ndarray, least: np.ndarray, most: int):
+    """For each row of ``scores`` the ``most`` others above its ``least``, as ``_list_batch`` takes them."""
+    most = min(most, scores.shape[1])
+    top = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+    found = np.take_along_axis(scores, top, 1)
+    good = found > least[:, None]
+    sizes = good.sum(1)
+    return owners[sizes > 0], sizes[sizes > 0], others[top[good]], found[good]
+
+
 def _within_cells(dim: int):
+    """The best neighbours of each node in its cell."""
+
     def run(batches):
         for batch in _whole_groups(batches, "cell"):
-            ids, x = batch.column("id").to_numpy(), _matrix(batch.column("x"), dim)
+            ids, x, s = batch.column("id").to_numpy(), _whole(batch.column("x"), dim), batch.column("s").to_numpy()
             borders = _borders(batch.column("cell").to_numpy())
             for lo, hi in zip(borders[:-1], borders[1:], strict=True):
-                rows, own = [], ids[lo:hi]
+                own, found = ids[lo:hi], []
                 for a in range(lo, hi, 1024):
-                    scores = x[a : min(a + 1024, hi)] @ x[lo:hi].T
-                    scores[own[None, :] == ids[a : min(a + 1024, hi), None]] = -np.inf
-                    k = min(K, hi - lo - 1)
-                    if k > 0:
-                        top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-                        rows += [(own[t], s[t]) for t, s in zip(top, scores, strict=True)]
-                if rows:
-                    yield _list_batch(own, rows)
+                    b = min(a + 1024, hi)
+                    scores = (x[a:b] @ x[lo:hi].T * (s[a:b, None] * s[None, lo:hi])).astype(np.float32)
+                    scores[own[None, :] == ids[a:b, None]] = -np.inf
+                    found.append(_best(scores, ids[a:b], own, np.full(b - a, -np.inf), FROM_CELL))
+                if found:
+                    yield _list_batch(found)
 
     return run
 
 
 def _merge(batches):
-    """The best K of all lists of each node."""
+    """The best K of all lists of each node; those that its own list, the row with a vector, didn't have are fresh."""
     for batch in _whole_groups(batches, "id"):
         lists = batch.column("ids")
-        sizes = np.diff(lists.offsets.to_numpy())
-        owner = np.repeat(batch.column("id").to_numpy(), sizes)
-        ids, scores = lists.flatten().to_numpy(), batch.column("scores").flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        owner, own = batch.column("id").to_numpy()[row], batch.column("x").is_valid().to_numpy(zero_copy_only=False)
+        ids, scores, new = lists.flatten().to_numpy(), batch.column("scores").flatten().to_numpy(), ~own[row]
+        order = np.lexsort((new, ids, owner))
+        owner, ids, scores, new = owner[order], ids[order], scores[order], new[order]
+        first = np.ones(len(ids), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])
+        owner, ids, scores, new = owner[first], ids[first], scores[first], new[first]
         order = np.lexsort((ids, -scores, owner))
-        owner, ids, scores = owner[order], ids[order], scores[order]
-        owners, rows = [], []
-        borders = _borders(owner)
-        for lo, hi in zip(borders[:-1], borders[1:], strict=True):
-            if hi == lo:
-                continue
-            _, first = np.unique(ids[lo:hi], return_index=True)
-            keep = lo + np.sort(first)[:K]
-            owners.append(owner[lo])
-            rows.append((ids[keep], scores[keep]))
-        if owners:
-            yield _list_batch(np.array(owners), rows)
+        owner, ids, scores, new = owner[order], ids[order], scores[order], new[order]
+        keep = np.arange(len(owner)) - np.searchsorted(owner, owner) < K
+        owner, ids, scores, new = owner[keep], ids[keep], scores[keep], new[keep]
+        nodes = batch.filter(pa.array(own))
+        at = nodes.column("id").to_numpy()
+        ptr = np.r_[np.searchsorted(owner, at), np.searchsorted(owner, at[-1:], "right")].astype(np.int32)
+        out = [pa.ListArray.from_arrays(ptr, pa.array(v, k)) for v, k in ((ids, pa.int64()), (scores, pa.float32()), (new, pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*(nodes.column(c) for c in ("id", "x", "s")), *out], names=["id", "x", "s", "ids", "scores", "fresh"])
 
 
 def _around(dim: int):
-    """Around each node, new neighbours of its members better than what they have: a list for each member."""
+    """Around each node, new neighbours of its members better than what they have."""
 
     def run(batches):
         for batch in _whole_groups(batches, "center"):
-            ids, worst, x = batch.column("id").to_numpy(), batch.column("worst").to_numpy(), _matrix(batch.column("x"), dim)
-            borders = _borders(batch.column("center").to_numpy())
-            owners, rows = [], []
+            ids, worst, s, fresh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "worst", "s", "fresh"))
+            x = _whole(batch.column("x"), dim)
+            borders, found = _borders(batch.column("center").to_numpy()), []
             for lo, hi in zip(borders[:-1], borders[1:], strict=True):
-                own, first = np.unique(ids[lo:hi], return_index=True)
+                if not fresh[lo:hi].any():
+                    continue
+                own, first, at = np.unique(ids[lo:hi], return_index=True, return_inverse=True)
                 if len(own) < 2:
                     continue
-                v = x[lo:hi][first]
-                scores = v @ v.T
+                new = np.zeros(len(own), bool)
+                np.logical_or.at(new, at, fresh[lo:hi])
+                first += lo
+                v = x[first]
+                scores = (v @ v.T * (s[first][:, None] * s[first][None, :])).astype(np.float32)
                 np.fill_diagonal(scores, -np.inf)
-                better = scores > worst[lo:hi][first][:, None]
-                for i in np.flatnonzero(better.any(1)).tolist():
-                    at = np.flatnonzero(better[i])
-                    owners.append(own[i])
-                    rows.append((own[at], scores[i, at]))
-            if owners:
-                yield _list_batch(np.array(owners), rows)
+                scores[~(new[:, None] | new[None, :])] = -np.inf
+                found.append(_best(scores, own, own, worst[first], TAKEN))
+            if found:
+                yield _list_batch(found)
 
     return run
 
 
 def _search_step(dim: int):
-    """Scores the new candidates of each query and keeps the best of the beam."""
+    """Scores the new candidates of each query and chooses what to expand next."""
 
     def run(batches):
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i] for c in ("query_id", "x", "ids", "scores", "done", "found")}
+                r = {c: batch.column(c)[i] for c in ("query_id", "x", "s", "ids", "scores", "done", "found")}
                 ids, scores = (r[c].values.to_numpy(zero_copy_only=False) for c in ("ids", "scores"))
-                done = set(r["done"].as_py())
+                x, s = r["x"].as_py(), r["s"].as_py()
+                done = r["done"].values.to_numpy(zero_copy_only=False)
                 if r["found"].is_valid and len(r["found"]):
                     found = r["found"].values
                     new = found.field("id").to_numpy()
-                    x = _matrix(found.field("x"), dim)
                     fresh = ~np.isin(new, ids)
-                    new = new[fresh]
-                    ids, scores = np.r_[ids, new], np.r_[scores, x[fresh] @ np.frombuffer(r["x"].as_py(), np.float32)].astype(np.float32)
-                order = np.lexsort((ids, -scores))[:BEAM]
+                    v = _whole(found.field("x").filter(pa.array(fresh)), dim)
+                    more = (v @ np.frombuffer(x, np.int16).astype(np.float64) * (found.field("s").to_numpy()[fresh] * np.float32(s))).astype(np.float32)
+                    ids, scores = np.r_[ids, new[fresh]], np.r_[scores, more]
+                order = np.lexsort((ids, -scores))[:HELD]
                 ids, scores = ids[order], scores[order]
-                todo = [y for y in ids.tolist() if y not in done][:EXPANDED]
-                out.append((r["query_id"].as_py(), r["x"].as_py(), ids.tolist(), scores.tolist(), [*done, *todo], todo))
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            names = ["query_id", "x", "ids", "scores", "done", "todo"]
+                best = ids[:BEAM]
+                todo = best[~np.isin(best, done)][:EXPANDED]
+                out.append((r["query_id"].as_py(), x, s, ids, scores, np.r_[done, todo], todo))
+            kinds = (pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            names = ["query_id", "x", "s", "ids", "scores", "done", "todo"]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=names)
 
     return run
@@ -282,76 +313,81 @@ class NeighbourGraph:
         nodes = parts.groupBy("key").agg(F.first("e").alias("e"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("members"))
         dim = self.dim
 
-        def single(batches):
+        def small(batches):
             for batch in batches:
-                x = [np.frombuffer(e, np.float64).astype(np.float32).tobytes() for e in batch.column("e").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.binary())], names=[*batch.schema.names, "x"])
+                found = [quantised(np.frombuffer(e, np.float64)) for e in batch.column("e").to_pylist()]
+                more = [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float32())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "x", "s"])
 
-        nodes = nodes.select(F.col("members")[0].alias("id"), "key", "e", "members").mapInArrow(single, "id long, key binary, e binary, members array<long>, x binary")
+        nodes = nodes.select(F.col("members")[0].alias("id"), "key", "e", "members").mapInArrow(small, "id long, key binary, e binary, members array<long>, x binary, s float")
         self.nodes = self.ws.table(nodes, "nodes")
-        self.vectors = self.nodes.select("id", "x")
+        self.vectors = self.nodes.select("id", "x", "s")
         self.graph = self._build(dim, seed)
 
     def _build(self, dim: int, seed: int) -> DataFrame:
         count = self.nodes.count()
-        sample = self.vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-        points = np.array([np.frombuffer(r["x"], np.float32) for r in sample], np.float32).reshape(-1, dim)
+        sample = self.vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()
+        points = _unit(sample.column("x"), dim)
         leaves = 1
         while leaves < MOST_LEAVES and leaves * CELL < count:
             leaves *= 2
-        context = self.spark.sparkContext
-        trees = context.broadcast(_trees(points, leaves, seed) if len(points) else [])
-        placed = self._split(self.ws.table(self.vectors.mapInArrow(_cells(trees, dim), "cell long, id long"), "cells"), dim)
-        placed = placed.join(self.vectors, "id").select("cell", "id", "x")
-        lists = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_within_cells(dim), _LISTS)
-        graph = self._merged(lists)
-        rounds, settled = 0, count == 0
-        while rounds < ROUNDS or not settled:
-            last, graph = graph, self._merged(graph.unionByName(self._round(graph)))
-            rounds += 1
-            if rounds >= ROUNDS:
-                both = graph.select("id", "ids").join(last.select("id", F.col("ids").alias("old")), "id", "left")
-                new = F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<long>"))))
-                settled = (both.agg(F.sum(new)).first()[0] or 0) <= CHANGED * K * count
-        return graph
+        trees = self.spark.sparkContext.broadcast(_trees(points, leaves, seed) if len(points) else [])
+        placed = self.ws.table(self.vectors.mapInArrow(_cells(trees, dim), f"cell long, {_NODE}"), "cells")
+        lists = self._split(placed, dim).repartition("cell").sortWithinPartitions("cell").mapInArrow(_within_cells(dim), _LISTS)
+        none = {"ids": F.array().cast("array<long>"), "scores": F.array().cast("array<float>"), "fresh": F.array().cast("array<boolean>")}
+        graph, used = self.vectors.withColumns(none), placed
+        while True:
+            graph = graph.unionByName(lists).repartition("id").sortWithinPartitions("id").mapInArrow(_merge, _LISTS)
+            graph = self.ws.table(graph, "graph")
+            self.ws.drop(used)
+            changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
+            if changed <= CHANGED * K * count:
+                return graph
+            lists, used = self._round(graph), graph
 
     def _split(self, placed: DataFrame, dim: int) -> DataFrame:
-        """(cell, id) with cells halved by further hyperplanes until none has over 2 * CELL rows."""
-        done, level = [], 0
+        """(cell, id, x, s) with cells halved by further hyperplanes until none has over 2 * CELL rows."""
+        done, level, columns = [], 0, ["cell", "id", "x", "s"]
         while True:
             large = self.ws.table(placed.groupBy("cell").count().where(F.col("count") > 2 * CELL), "large")
-            done.append(placed.join(large, "cell", "left_anti"))
             if large.isEmpty():
+                done.append(placed)
                 break
+            done.append(placed.join(large, "cell", "left_anti"))
             level += 1
-            own = placed.join(large, "cell").join(self.vectors, "id").withColumn("coin", F.pmod(F.xxhash64(F.lit(-level), "id"), F.lit(2)))
+            own = placed.join(large, "cell").withColumn("coin", F.pmod(F.xxhash64(F.lit(-level), "id"), F.lit(2)))
             chance = F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 30)) * F.col("count")
             sample = own.where(chance < CELL << 30).select("cell", "id", "x").repartition("cell").sortWithinPartitions("cell", "id")
             cuts = self.ws.table(sample.mapInArrow(_splits(dim), "cell long, normal binary, cut float"), "cuts")
-            halves = own.join(cuts, "cell").select("cell", "id", "x", "coin", "normal", "cut").mapInArrow(_sides(dim), "cell long, id long, side long")
-            kept = placed.join(large, "cell", "left_semi").join(cuts, "cell", "left_anti").select(F.xxhash64("cell", F.lit(2)).alias("cell"), "id")
-            placed = self.ws.table(halves.select(F.xxhash64("cell", "side").alias("cell"), "id").union(kept), "cells")
+            halves = own.join(cuts, "cell").select(*columns, "coin", "normal", "cut").mapInArrow(_sides(dim), f"cell long, {_NODE}, side long")
+            kept = placed.join(large, "cell", "left_semi").join(cuts, "cell", "left_anti").withColumn("cell", F.xxhash64("cell", F.lit(2)))
+            placed = self.ws.table(halves.withColumn("cell", F.xxhash64("cell", "side")).select(columns).union(kept.select(columns)), "cells")
         out = done[0]
         for part in done[1:]:
             out = out.union(part)
         return out
 
-    def _merged(self, lists: DataFrame) -> DataFrame:
-        return self.ws.table(lists.repartition("id").sortWithinPartitions("id").mapInArrow(_merge, _LISTS), "graph")
+    def _edges(self, graph: DataFrame, limit: int) -> DataFrame:
+        """(id, other, score, fresh, and the columns of ``graph``) of each node's ``limit`` best neighbours."""
+        each = F.explode(F.slice(F.arrays_zip("ids", "scores", "fresh"), 1, limit)).alias("e")
+        more = [c for c in graph.columns if c not in ("ids", "scores", "fresh")]
+        return graph.select(*more, each).select(*more, F.col("e.ids").alias("other"), F.col("e.scores").alias("score"), F.col("e.fresh").alias("fresh"))
 
-    def _ends(self, graph: DataFrame, limit: int) -> DataFrame:
-        """(center, id): each node's best neighbours, and the nodes it is a best neighbour of."""
-        best = graph.select("id", F.posexplode(F.slice("ids", 1, limit)).alias("rank", "other"), "scores").select("id", "other", F.col("scores")[F.col("rank")].alias("score"))
-        ahead = best.select(F.col("id").alias("center"), F.col("other").alias("id"))
+    @staticmethod
+    def _back(edges: DataFrame, limit: int) -> DataFrame:
+        """The ``limit`` best edges that lead to each node."""
         order = Window.partitionBy("other").orderBy(F.desc("score"), "id")
-        back = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
-        return ahead.union(back.select(F.col("other").alias("center"), "id")).distinct()
+        return edges.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
     def _round(self, graph: DataFrame) -> DataFrame:
-        worst = graph.select("id", F.when(F.size("ids") >= K, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
-        known = self.vectors.join(worst, "id")
-        members = self._ends(graph, MEMBERS).join(known, "id").select("center", "id", "worst", "x")
-        return members.repartition("center").sortWithinPartitions("center").mapInArrow(_around(self.dim), _LISTS)
+        """Lists of new neighbours, from meetings around each node."""
+        worst = F.when(F.size("ids") >= K, F.element_at("scores", -1)).otherwise(F.lit(float("-inf")).cast("float"))
+        known = graph.withColumn("worst", worst)
+        edges = self._edges(known, MEMBERS)
+        columns = ["center", "id", "x", "s", "worst", "fresh"]
+        back = self._back(edges, MEMBERS).withColumnRenamed("other", "center").select(columns)
+        ahead = edges.select(F.col("id").alias("center"), F.col("other").alias("id"), "fresh").join(known.select("id", "x", "s", "worst"), "id").select(columns)
+        return ahead.union(back).repartition("center").sortWithinPartitions("center").mapInArrow(_around(self.dim), _LISTS)
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest found for each query(vec_id), itself left out.
@@ -360,21 +396,28 @@ class NeighbourGraph:
         counts from 1, ties go to the smaller id; score is the inner product of the originals.
         """
         own = self.rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id").mapInArrow(_keys, "vec_id long, key binary")
-        own = self.ws.table(own.dropDuplicates(["vec_id"]).join(self.nodes, "key").select(F.col("vec_id").alias("query_id"), "id", "x", "e"), "queries")
-        links = self._ends(self.graph, K).groupBy("center").agg(F.collect_list("id").alias("near"))
-        links = self.ws.table(links, "links")
-        none = F.array().cast("array<long>")
-        beam = own.select("query_id", "x", none.alias("ids"), F.array().cast("array<float>").alias("scores"), none.alias("done"), F.array("id").alias("todo"))
-        schema = "query_id long, x binary, ids array<long>, scores array<float>, done array<long>, todo array<long>"
-        step = 0
-        while step == 0 or not beam.where(F.size("todo") > 0).isEmpty():
+        own = self.ws.table(own.dropDuplicates(["vec_id"]).join(self.nodes, "key").select(F.col("vec_id").alias("query_id"), "id", "x", "s", "e"), "queries")
+        back = self._back(self._edges(self.graph.select("id", "ids", "scores", "fresh"), K), K).groupBy("other").agg(F.collect_list("id").alias("back"))
+        near = F.array_union("ids", F.coalesce("back", F.array().cast("array<long>")))
+        links = self.ws.table(self.graph.select("id", "ids").join(back.withColumnRenamed("other", "id"), "id", "left").select(F.col("id").alias("center"), near.alias("near")), "links")
+        # a query starts from its own node, whose copies are results too, and the node's list
+        start = own.drop("e").join(self.graph.select("id", "ids", "scores"), "id")
+        itself = F.lit(float("inf")).cast("float")
+        beam = start.select("query_id", "x", "s", F.concat(F.array("id"), "ids").alias("ids"), F.concat(F.array(itself), "scores").alias("scores"), F.array("id").alias("done"), F.slice("ids", 1, EXPANDED).alias("todo"))
+        beam = beam.withColumn("done", F.concat("done", "todo"))
+        schema = "query_id long, x binary, s float, ids array<long>, scores array<float>, done array<long>, todo array<long>"
+        used = None
+        while True:
             front = beam.select("query_id", F.explode("todo").alias("center"))
-            reached = front.join(links, "center").select("query_id", F.explode("near").alias("id"))
-            if step == 0:
-                reached = reached.union(front.select("query_id", F.col("center").alias("id")))
-            scored = reached.distinct().join(self.vectors, "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "x")).alias("found"))
+            # dealt by node, so that what several centers reach is one and meets its vector without another exchange
+            reached = front.join(links, "center").select("query_id", F.explode("near").alias("id")).repartition("id").distinct()
+            scored = reached.join(self.vectors, "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "x", "s")).alias("found"))
             beam = self.ws.table(beam.join(scored, "query_id", "left").mapInArrow(_search_step(self.dim), schema), "beam")
-            step += 1
+            if used is not None:
+                self.ws.drop(used)
+            used = beam
+            if beam.where(F.size("todo") > 0).isEmpty():
+                break
         last = beam.select("query_id", F.explode(F.slice("ids", 1, RESCORED)).alias("id"))
         last = last.join(own.select("query_id", F.col("e").alias("q")), "query_id").join(self.nodes.select("id", "e", "members"), "id")
         dim = self.dim

@@ -394,7 +394,7 @@ def test_neighbours(spark):
 
 
 def test_neighbours_of_tight_clusters(spark, monkeypatch):
-    for name, value in (("MOST_LEAVES", 1), ("CELL", 16), ("ROUNDS", 0), ("TREES", 3)):
+    for name, value in (("MOST_LEAVES", 1), ("CELL", 16), ("TREES", 3)):
         monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(size=(1, 24)) + 0.05 * rng.normal(size=(900, 24)), rng.normal(size=(600, 24))])
@@ -405,3 +405,23 @@ def test_neighbours_of_tight_clusters(spark, monkeypatch):
     want = np.argsort(-scores, 1)[:, :20]
     found = {r.id: set(r.ids) for r in ann.NeighbourGraph(frame).graph.select("id", "ids").collect()}
     assert np.mean([len(found[i] & set(want[i].tolist())) / 20 for i in range(len(x))]) > 0.9
+
+
+def test_recall_beyond_the_beam(spark):
+    """A table of many times what a query expands, without any structure to follow."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5000, 40)).astype(np.float32)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(5000), "embedding": pa.array(list(x))}))
+    found = {r.query_id: set(r.found) for r in ann.NeighbourGraph(frame).search(frame.where("vec_id % 20 = 0")).groupBy("query_id").agg(F.collect_list("vec_id").alias("found")).collect()}
+    scores = x[::20].astype(np.float64) @ x.T.astype(np.float64)
+    scores[np.arange(250), np.arange(0, 5000, 20)] = -np.inf
+    want = np.argsort(-scores, 1)[:, :20]
+    assert np.mean([len(found[20 * i] & set(want[i].tolist())) / 20 for i in range(250)]) > 0.95
+
+
+def test_quantised_vectors():
+    x = np.random.default_rng(3).normal(size=64) * 7
+    raw, scale = ann.quantised(x)
+    assert np.abs(np.frombuffer(raw, np.int16) * scale - x).max() <= scale * 0.51
+    assert ann.quantised(np.full(3, 1e-300))[0] == bytes(6)
+    assert np.isfinite(ann.quantised(np.array([1e300, 0.0]))[1])
