@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strataspark.storage import Workspace
 from strataspark.llm import ann, decontam, html_text, license_scan, mixing, near_dedup, pii, quality, sharding, substring_dedup, textkit
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -170,27 +171,64 @@ def test_surrogates(spark):
     frame = spark.createDataFrame([(1, text), (2, "call +1 (499) 555-6503"), (3, None), (4, ""), (None, "a@b.io")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.replace_entities(frame, b"key").collect()}
     found = pii.detect(got[1].text)
-    assert [k for _, _, k, _ in found] == [k for _, _, k, _ in pii.detect(text)] and got[1].n_entities == 7
+    assert [x[2] for x in found] == [x[2] for x in pii.detect(text)] and got[1].n_entities == 7
     assert got[1].text.startswith("Mr. ") and len(got[1].text.split("@")[0]) > 0
-    forms = [f for _, _, _, f in found]
+    forms = [x[3] for x in found]
     assert forms[1] == forms[2] and forms[3] == forms[4] and forms[3] == pii.detect(got[2].text)[0][3]
-    assert not {f for _, _, _, f in found} & {f for _, _, _, f in pii.detect(text)}
-    assert pii.luhn(next(f for _, _, k, f in found if k == "card"))
+    assert not set(forms) & {x[3] for x in pii.detect(text)}
+    assert pii.luhn(next(x[3] for x in found if x[2] == "card"))
     assert got[3].text is None and got[4].text == "" and got[None].n_entities == 1
     assert pii.replace_entities(frame.limit(0), b"key").count() == 0
 
 
+def replaced(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pii.replace_entities(frame, b"k").collect(), key=lambda r: r.doc_id)]
+
+
+def test_names_are_coreferent(spark):
+    one, two, three, four = replaced(
+        spark,
+        ["Mr John Smith called. John Smith left. Dr John Smith and Mr Smith; Smith.", "Dr. Anna Schmidt and Frau Anna Schmidt", "Mr O'Brien, Mr Robin McDonald, Herr Łukasz Nowak.", "Prof Robin McDonald"],
+    )
+    m = re.fullmatch(r"Mr (\S+ (\S+)) called\. (\S+ \S+) left\. Dr (\S+ \S+) and Mr (\S+); (\S+)\.", one)
+    assert m and m[1] == m[3] == m[4] and m[2] == m[5] == m[6] and "Smith" not in one and "John" not in one
+    m = re.fullmatch(r"Dr\. (\S+ \S+) and Frau (\S+ \S+)", two)
+    assert m[1] == m[2] and m[1].split()[0] in pii._GIVEN["latin", "f"]
+    assert not re.search("Brien|McDonald|Nowak|Robin", three)
+    same = re.search("Mr (\\S+ \\S+),", three)[1]
+    assert four == f"Prof {same}" and same.split()[0] in pii._GIVEN["latin", "m"]
+
+
+def test_long_secrets(spark):
+    texts = ["key = 1", 'token="' + "aB3" * 300 + '"', "hash " + "0a" * 200, "c" * 100 + " 12"]
+    out = replaced(spark, texts)
+    assert out[0] == texts[0] and out[3] == texts[3]
+    assert len(out[1]) == len(texts[1]) and "aB3aB3aB3" not in out[1] and len(out[2]) == len(texts[2]) and "0a0a0a" not in out[2]
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
-    """With few surrogates to draw from, redraws keep them apart, told by broadcast or by a join."""
-    real = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda key, kind, form, attempt=0: real(key, kind, form, attempt))
-    rows = [(i, f"user a{chr(97 + i)}@x{chr(97 + i)}.io and b{i}@y.io") for i in range(20)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r.text for r in pii.replace_entities(frame, b"k").collect()}
-    mails = [m for t in out.values() for m in re.findall(r"\S+@\S+", t)]
-    assert len(set(mails)) == len({m for _, t in rows for m in re.findall(r"\S+@\S+", t)})
-    monkeypatch.setattr(pii, "BROADCAST_REDRAWN", -1)
-    assert {r.doc_id: r.text for r in pii.replace_entities(frame, b"k").collect()} == out
+    """Short addresses and many who share a surname force redraws, told by broadcast or by a join; brute force counts."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"user {a}@{b}.io, Mr {n.title()} Smith" for a in letters[:13] for b, n in zip(letters, ["Ab" + c for c in letters], strict=True)]
+    find = lambda t: re.findall(r"\S+@[\w.]+", t) + re.findall(r"Mr (\S+ \S+)", t)
+    assert any(pii.surrogate(b"k", "email", f"{a}@{b}.io") in " ".join(texts) for a in letters[:13] for b in letters)
+    out = replaced(spark, texts)
+    pairs = {(x, y) for t, u in zip(texts, out, strict=True) for x, y in zip(find(t), find(u), strict=True)}
+    olds, news = {x for x, _ in pairs}, {y for _, y in pairs}
+    assert len(olds) == len(news) == len(pairs) == 13 * 26 + 26 and not olds & news
+    monkeypatch.setattr(pii, "BROADCAST_TOLD", -1)
+    assert replaced(spark, texts) == out
+
+
+def test_exhausted_spaces_end(spark, monkeypatch):
+    """More private addresses, and short numbers, than their ranges have room for others."""
+    rows = [("ip", f"192.168.{a}.{b}") for a in range(1, 133) for b in range(1, 251)] + [("phone", f"{n:05d}") for n in range(10000, 100000, 1)]
+    frame = spark.createDataFrame([(*r, "n") for r in rows], "kind string, form string, gender string")
+    monkeypatch.setattr(pii, "TRIES", 8)
+    got = pii.surrogates(frame, b"k", Workspace(spark, "t")).collect()
+    assert len({(r.kind, r.drawn) for r in got}) == len(got) == len(rows) and all(r.form != r.drawn for r in got)
+    assert all(r.drawn.startswith(("192.168.", "10.")) for r in got if r.kind == "ip")
 
 
 def test_shards(spark, odd):
