@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +22,17 @@ _SETTINGS = {
 _OWN: dict[str, str] = {}
 
 
+#: Writers under way in each session, and what the settings were before the first of them.
+_WRITERS: dict[int, tuple[int, dict[str, str | None]]] = {}
+_LOCK = threading.Lock()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a folder of our own if all runs on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN:
             _OWN[application] = tempfile.mkdtemp(prefix="strataspark-")
@@ -29,6 +40,30 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Holds the settings for tables being written; threads that write in one session at a time share them."""
+    conf, key = spark.conf, id(spark)
+    with _LOCK:
+        n, before = _WRITERS.get(key, (0, None))
+        if before is None:
+            before = {k: conf.get(k, None) for k in _SETTINGS}
+            for k, v in _SETTINGS.items():
+                conf.set(k, v)
+        _WRITERS[key] = n + 1, before
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITERS[key]
+            if n > 1:
+                _WRITERS[key] = n - 1, before
+            else:
+                del _WRITERS[key]
+                for k, v in before.items():
+                    conf.unset(k) if v is None else conf.set(k, v)
+
+
 class Workspace:
     """Names, writes and drops the intermediate tables of one operator call."""
 
@@ -43,19 +78,29 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table (executor loss then costs a reread only)."""
-        path, conf = self.path(name), self.spark.conf
-        before = {k: conf.get(k, None) for k in _SETTINGS}
-        for k, v in _SETTINGS.items():
-            conf.set(k, v)
-        try:
+        path = self.path(name)
+        with writing(self.spark):
             df.write.parquet(path)
-        finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.workspace_path = path
         return out
 
+    def buckets(self, df: DataFrame, name: str, key: str, count: int) -> str:
+        """Write ``df`` in ``count`` buckets by ``key``, each one file sorted by it; the name of the new catalog table."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        with writing(self.spark):
+            df.repartition(count, key).write.bucketBy(count, key).sortBy(key).option("path", self.path(name)).format("parquet").saveAsTable(table)
+        return table
+
+    def drop_buckets(self, table: str) -> None:
+        """Delete a table that ``buckets`` wrote."""
+        frame = self.spark.table(table)
+        files = frame.inputFiles()
+        self.spark.sql(f"drop table {table}")
+        if files:
+            frame.workspace_path = files[0].rsplit("/", 1)[0]
+            self.drop(frame)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

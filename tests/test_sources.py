@@ -74,3 +74,13 @@ def test_stream_and_resume(spark, cloud, tmp_path):
     assert spark.read.parquet(f"{out}/points").count() == 500
     tiles = tiling.tile_index(tiling.with_tile(cloud, 20.0))
     assert remaining(tiles, spark.read.parquet(f"{out}/tiles")).count() == 0
+
+
+def test_writers_share_settings(spark):
+    from strataspark import storage
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with storage.writing(spark), storage.writing(spark):
+        assert spark.conf.get(key) == "2000"
+    assert spark.conf.get(key) == before and not storage._WRITERS
