@@ -36,8 +36,8 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the words of 20-word windows that started earlier, in two batches."""
-    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), batches=2, digest=True)
+    """All documents without the words of 20-word windows that started earlier, in three batches with a compaction."""
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), batches=3, digest=True, max_runs=2)
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,14 +137,31 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_repeats(spark, copies, batches, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 2)  # compacts on the way
+@pytest.mark.parametrize(("batches", "told"), [(1, 1 << 26), (4, 1 << 26), (3, -1)])
+def test_repeats(spark, copies, batches, told, monkeypatch):
+    """In one batch and in several with compaction; fingerprints told by bitmap or by a join."""
+    monkeypatch.setattr(substring_dedup, "MOST_AGAIN", told)
     frame = spark.createDataFrame([*copies, (900, " ".join(["ab"] * 70), "en", "s", 0)], DOCS)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(frame, batches).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(frame, batches, max_runs=2).collect()}
     assert got == brute_repeats([(r.doc_id, r.text) for r in frame.collect()])
 
 
+def test_runs_are_sorted_and_compacted(spark, copies):
+    index = substring_dedup.FingerprintIndex(spark, max_runs=2, buckets=3)
+    own = substring_dedup.keyed(spark.createDataFrame(copies, DOCS))
+    for k in range(3):
+        index.add(own.where(f"doc_id % 3 = {k}"))
+    assert index.compactions == 1 and len(index.runs) == 2
+    for path in spark.table(index.runs[0]).inputFiles():
+        g = [r.g for r in spark.read.parquet(path).collect()]
+        assert g == sorted(set(g))
+    joined = index._joined(index.runs[1])
+    assert joined.count() > 0
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    index.close()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_repeats_of_odd_rows(odd):
     rows = substring_dedup.remove_repeats(odd, 2, digest=True).collect()
     assert len(rows) == len(ODD) and all(r.n_removed == 0 for r in rows)
