@@ -2,13 +2,15 @@
 
 Texts are words (ASCII letters, digits and non-ASCII characters, ASCII case folded). A document
 leaks an item when some run of its words is within ``k`` word edits of the whole item, with
-k = min(rate * n, n // 5 - 1) for n words. One of an item's n // 5 pieces of five words then stands
-unchanged, so item-sized windows are cut only around such pieces, at every shift up to k; this
-loses none. The windows are embedded by CGK random walks, which turn edit distance into Hamming
-distance; signatures of a few sampled steps are looked up among the items' signatures, with as
-many repetitions as the target recall asks for, and what collides is verified exactly.
-
-Items are taken in blocks of bounded size, each broadcast and set against all documents.
+k = rate * n, rounded down, for n words. Of any k + 1 separate pieces of an item one then stands
+unchanged, so item-sized windows are cut only around pieces of n // (k + 1) words, ``PIECE`` at most, at
+every shift up to k; this loses none. The windows are embedded by CGK random walks, which turn edit
+distance into Hamming distance; signatures of a few sampled steps are looked up among the items'
+signatures, with as many repetitions as the target recall asks for, and what collides is verified exactly.
+
+Pieces are kept once for each length and place they have in items, so a stem that many items share
+costs no more than one of them. Items are taken in blocks of bounded size, each broadcast and set
+against all documents; a usual benchmark collection is one block, so documents are read once.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ AGREEMENT = 0.5
 
 
 def allowed_edits(n: int, rate: float) -> int:
-    return max(0, min(int(rate * n), n // PIECE - 1))
+    return int(rate * n + 1e-9)
+
+
+def piece_length(n: int, k: int) -> int:
+    return min(PIECE, n // (k + 1))
 
 
 def repetitions(recall: float) -> int:
@@ -99,54 +105,55 @@ class Items:
         data, offsets = tk.utf8(column)
         words = _words(data, offsets)
         self.words = [words.hashes[words.ptr[i] : words.ptr[i + 1]] for i in range(len(ids))]
-        self.edits = [allowed_edits(len(w), rate) for w in self.words]
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        self.edits = {n: allowed_edits(n, rate) for n in {len(w) for w in self.words}}
+        pieces: dict[int, set[tuple[int, int, int]]] = {}
         self.by_length: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
             if len(w):
-                q = min(PIECE, len(w))
+                q = piece_length(len(w), self.edits[len(w)])
                 self.by_length.setdefault(len(w), []).append(i)
-                pieces.setdefault(q, []).extend((int(_grams(w[o : o + q], q)[0]), i, o) for o in range(0, len(w) - q + 1, q))
+                grams = _grams(w, q)
+                pieces.setdefault(q, set()).update((int(grams[o]), len(w), o) for o in range(0, len(w) - q + 1, q))
         self.pieces = {}
-        for q, found in pieces.items():
+        for q, unsorted in pieces.items():
+            found = sorted(unsorted)
             h = np.array([x[0] for x in found], _U)
-            order = np.argsort(h, kind="stable")
             bits = max(16, (4 * len(found)).bit_length() + 3)
             seen = np.zeros(1 << bits, bool)
             seen[h & _U((1 << bits) - 1)] = True
-            self.pieces[q] = (h[order], np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order], seen, _U((1 << bits) - 1))
+            self.pieces[q] = (h, np.array([x[1] for x in found]), np.array([x[2] for x in found]), seen, _U((1 << bits) - 1))
         self.signed = {n: signatures(np.array([self.words[i] for i in own]), reps) for n, own in self.by_length.items()}
 
     def matches(self, words: tk.Words) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, first word, edits): the best run for each leaked item of each document."""
         hashes, ptr = words.hashes, words.ptr
-        windows: dict[int, set[tuple[int, int]]] = {}
-        for q, (known, item, offset, seen, mask) in self.pieces.items():
+        windows: dict[int, list[np.ndarray]] = {}
+        for q, (known, length, offset, seen, mask) in self.pieces.items():
             grams = _grams(hashes, q)
             at = np.flatnonzero(seen[(grams & mask).astype(np.int64)])
+            at = at[at + q <= ptr[np.searchsorted(ptr, at, "right")]]
             lo, hi = np.searchsorted(known, grams[at], "left"), np.searchsorted(known, grams[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                d = int(np.searchsorted(ptr, p, "right")) - 1
-                if p + q > ptr[d + 1]:
-                    continue
-                for i, o in zip(item[a:b].tolist(), offset[a:b].tolist(), strict=True):
-                    n, k = len(self.words[i]), self.edits[i]
-                    own = windows.setdefault(n, set())
-                    for s in range(max(p - o - k, int(ptr[d])), min(p - o + k, int(ptr[d + 1]) - 1) + 1):
-                        own.add((d, s))
+            for part in range(0, len(at), 65536):
+                p, first, many = at[part : part + 65536], lo[part : part + 65536], (hi - lo)[part : part + 65536]
+                p, row = np.repeat(p, many), np.repeat(first + many - np.cumsum(many), many) + np.arange(many.sum())
+                for n in np.unique(length[row]).tolist():
+                    k, own = self.edits[n], length[row] == n
+                    d = np.searchsorted(ptr, p[own], "right") - 1
+                    start = np.unique((p[own] - offset[row[own]])[:, None] + np.arange(-k, k + 1) + 1j * d[:, None])
+                    s, d = start.real.astype(np.int64), start.imag.astype(np.int64)
+                    windows.setdefault(n, []).append(s[(s >= ptr[d]) & (s < ptr[d + 1])])
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for n, own in windows.items():
-            places = np.array(sorted(own))
-            for lo in range(0, len(places), 4096):
-                for d, i, s, e in self._verified(hashes, ptr, n, places[lo : lo + 4096]):
+            start = np.unique(np.concatenate(own))
+            for lo in range(0, len(start), 4096):
+                for d, i, s, e in self._verified(hashes, ptr, n, start[lo : lo + 4096]):
                     best[d, i] = min(best.get((d, i), (e, s)), (e, s))
         for (d, i), (e, s) in sorted(best.items()):
             yield d, i, s - int(ptr[d]), e
 
-    def _verified(self, hashes, ptr, n, places):
-        items = np.array(self.by_length[n])
-        k = max(self.edits[i] for i in items)
-        doc, start = places[:, 0], places[:, 1]
+    def _verified(self, hashes, ptr, n, start):
+        items, k = np.array(self.by_length[n]), self.edits[n]
+        doc = np.searchsorted(ptr, start, "right") - 1
         column = start[:, None] + np.arange(n + k)
         text = np.where(column < ptr[doc + 1][:, None], hashes[np.minimum(column, len(hashes) - 1)], _U(0))
         signed, known = signatures(text[:, :n], self.reps), self.signed[n]
@@ -164,7 +171,7 @@ class Items:
             w, x = found[lo : lo + 4096].T
             own = np.array([self.words[items[y]] for y in x])
             for a, b, e in zip(w.tolist(), x.tolist(), edit_distances(own, text[w]).tolist(), strict=True):
-                if e <= self.edits[items[b]]:
+                if e <= k:
                     yield int(doc[a]), int(items[b]), int(start[a]), e
 
 
