@@ -45,11 +45,10 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The method shuffles rows one by one, so its law is ``rows`` and equal texts aren't kept together.
     """
-    docs = _read(spark, sf_dir, "documents")
+    out = sharding.shard_rows(_read(spark, sf_dir, "documents"), 16, seed=5)
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = sharding.shard_rows(own, 16, seed=5)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

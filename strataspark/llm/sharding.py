@@ -7,6 +7,8 @@ permutation. Each part is permuted locally and cut at the matrix row's borders;
 permutes what it gets, in cells of bounded size whose exact counts give every row its slot.
 Equal rows are in one part, which the law allows for, and are numbered there; all that follows the
 parts draws from the row's hash and that number, so copies of a row go apart like any other rows.
+Rows that repeat so often that they would swell a part are counted, numbered from the count, and dealt
+into parts by hash and number.
 DataFrame functions only; the driver sees P counts and cell counts, one for some 100,000 rows.
 """
 
@@ -68,6 +70,21 @@ def _fresh(names: list[str], wanted: str) -> str:
     return wanted
 
 
+def _numbered_repeats(keyed: DataFrame, full: list[int], h: str, p: str, copy: str, other: str, parts: int, seed: int) -> DataFrame:
+    """``keyed`` with numbers in ``copy`` for rows that repeat over PART_ROWS times in the parts ``full``; these rows are dealt anew."""
+    n, chunk = _fresh(keyed.columns, "count"), _fresh(keyed.columns, "chunk")
+    own = keyed.withColumn(other, F.xxhash64(F.lit(~seed), *(F.col(f"`{f.name}`") for f in keyed.schema if not isinstance(f.dataType, (T.MapType, T.VariantType)))))
+    often = own.where(F.col(p).isin(full)).groupBy(h, other).agg(F.count("*").alias(n)).where(F.col(n) > PART_ROWS)
+    often = F.broadcast(often)  # at most rows / PART_ROWS of them
+    rest = own.join(often, [h, other], "left_anti").withColumn(copy, F.lit(None).cast("long"))
+    one = own.join(often, [h, other]).dropDuplicates([h, other])
+    many = one.withColumn(chunk, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / PART_ROWS)))).repartition(h, other, chunk)
+    last = F.least(F.col(n), (F.col(chunk) + 1) * PART_ROWS) - 1
+    many = many.withColumn(copy, F.explode(F.sequence(F.col(chunk) * PART_ROWS, last)))
+    many = many.withColumn(p, F.pmod(F.xxhash64(F.lit(seed + 1), h, copy), F.lit(parts)))
+    return rest.drop(other).unionByName(many.select(rest.drop(other).columns))
+
+
 def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """``docs`` with shard (0 to shards - 1, sizes at most one apart) and slot (gapless from 0 in each shard).
 
@@ -79,14 +96,21 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     for name in [c for c in docs.columns if c.lower() in ("shard", "slot")]:
         docs = docs.withColumnRenamed(name, _fresh([*docs.columns, "shard", "slot"], name))
     names = docs.columns
-    h, p, copy, rank, cell = (_fresh(names, x) for x in ("h", "part", "copy", "rank", "cell"))
+    h, p, copy, rank, cell, other = (_fresh(names, x) for x in ("h", "part", "copy", "rank", "cell", "other"))
     hashable = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keyed = docs.withColumn(h, F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in hashable)))
     total = docs.count()
     parts = max(LEAST_PARTS, -(-total // PART_ROWS))
     cells = max(-(-LEAST_PARTS // shards), -(-total // (shards * CELL_ROWS)))
     keyed = keyed.withColumn(p, F.pmod(F.xxhash64(F.lit(seed + 1), h), F.lit(parts)))
-    counts = {r[0]: r[1] for r in keyed.groupBy(p).count().toLocalIterator()}
+    counted = lambda: {r[0]: r[1] for r in keyed.groupBy(p).count().toLocalIterator()}
+    counts = counted()
+    full = [i for i, n in counts.items() if n > 3 * PART_ROWS]
+    if full:
+        keyed = _numbered_repeats(keyed, full, h, p, copy, other, parts, seed)
+        counts = counted()
+    else:
+        keyed = keyed.withColumn(copy, F.lit(None).cast("long"))
     sent = [counts.get(i, 0) for i in range(parts)]
     total = sum(sent)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
@@ -96,7 +120,7 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     def sharded(frame: DataFrame) -> DataFrame:
         alike = Window.partitionBy(p).orderBy(h)
         # both windows follow one exchange by part
-        own = frame.withColumn(copy, F.row_number().over(alike) - F.rank().over(alike))
+        own = frame.withColumn(copy, F.coalesce(copy, F.row_number().over(alike) - F.rank().over(alike)))
         local = Window.partitionBy(p).orderBy(F.xxhash64(F.lit(seed + 2), h, copy), h, copy)
         ranked = own.withColumn(rank, F.row_number().over(local) - 1)
         # one row a part: at most rows / PART_ROWS of them
@@ -105,7 +129,7 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         placed = placed.withColumn("shard", shard).drop("borders", rank, p)
         return placed.withColumn(cell, F.pmod(F.xxhash64(F.lit(seed + 3), h, copy), F.lit(cells)))
 
-    found = sharded(keyed.select(h, p)).groupBy("shard", cell).count()
+    found = sharded(keyed.select(h, p, copy)).groupBy("shard", cell).count()
     filled = {(r[0], r[1]): r[2] for r in found.toLocalIterator()}
     starts, at = [], 0
     for s in range(shards):

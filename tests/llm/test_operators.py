@@ -270,6 +270,16 @@ def test_copies_of_a_row_spread_over_shards(spark):
     assert rows == sorted(tuple(r) for r in sharding.shard_rows(frame.repartition(7), 16, seed=1).select("shard", "slot", "doc_id").collect())
 
 
+def test_rows_that_repeat_beyond_a_part(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 100)
+    frame = spark.range(3000).select(F.when(F.col("id") < 2000, -1).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("h"))
+    rows = sorted(tuple(r) for r in sharding.shard_rows(frame, 8, seed=2).select("shard", "slot", "doc_id").collect())
+    assert sorted(r[2] for r in rows) == [-1] * 2000 + list(range(2000, 3000))
+    assert [r[:2] for r in rows] == [(s, k) for s in range(8) for k in range(375)]
+    assert all(abs(sum(d == -1 for s, _, d in rows if s == shard) - 250) < 50 for shard in range(8))
+    assert rows == sorted(tuple(r) for r in sharding.shard_rows(frame.repartition(5), 8, seed=2).select("shard", "slot", "doc_id").collect())
+
+
 def test_communication_matrix():
     m = np.array(sharding.communication_matrix([5, 0, 100, 7], [30, 41, 41], 3))
     assert m.sum(1).tolist() == [5, 0, 100, 7] and m.sum(0).tolist() == [30, 41, 41]
