@@ -81,88 +81,139 @@ def cloth_ground(cells: DataFrame, keys: list[str], *, resolution=0.30, threshol
     return own.groupBy(*keys).applyInPandas(run, own.schema)
 
 
-def ransac_plane(points: np.ndarray, threshold: float, trials: int, rng) -> tuple[np.ndarray, np.ndarray] | None:
-    """(plane, inlier mask) of the most inliers over random triples; the first wins ties."""
-    best, best_count = None, 0
-    for _ in range(trials):
-        a, b, c = points[rng.choice(len(points), 3, replace=False)]
-        normal = np.cross(b - a, c - a)
-        size = np.linalg.norm(normal)
-        if size < 1e-9:
-            continue
-        normal /= size
-        inside = np.abs((points - a) @ normal) < threshold
-        count = int(inside.sum())
-        if count > best_count:
-            best, best_count = (np.r_[normal, -normal @ a], inside), count
-    return best
+def best_plane(points: np.ndarray, threshold: float, trials: int, rng) -> np.ndarray | None:
+    """(unit normal, offset) of the plane through three random points that most points are close to; the first on ties.
 
+    All planes are drawn at once, and points are counted in blocks as one matrix product each.
+    """
+    corners = points[rng.integers(0, len(points), (trials, 3))]
+    normals = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+    sizes = np.linalg.norm(normals, axis=1)
+    flat = sizes >= 1e-9  # three points that don't span a plane are no trial
+    if not flat.any():
+        return None
+    normals = normals[flat] / sizes[flat, None]
+    offsets = -(normals * corners[flat, 0]).sum(1)
+    counts = np.zeros(len(normals), np.int64)
+    for lo in range(0, len(points), 16384):
+        counts += (np.abs(points[lo : lo + 16384] @ normals.T + offsets) < threshold).sum(0)
+    best = int(counts.argmax())
+    return np.r_[normals[best], offsets[best]]
+
+
+def thinned(points: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first point of each cube, of a side that leaves about ``most``; at most that many, evenly taken."""
+    if len(points) <= most:
+        return np.arange(len(points))
+    side = max(0.05, (np.prod(np.maximum(np.ptp(points, axis=0), 1e-3)) / most) ** (1 / 3))
+    first = np.sort(np.unique(np.floor(points / side).astype(np.int64), axis=0, return_index=True)[1])
+    return first if len(first) <= most else first[np.linspace(0, len(first) - 1, most).astype(np.int64)]
 
-def plane_clusters(x: np.ndarray, y: np.ndarray, eps: float, min_pts: int) -> np.ndarray:
-    """DBSCAN labels in the plane, -1 for noise."""
-    cells: dict[tuple[int, int], list[int]] = {}
-    ci, cj = np.floor(x / eps).astype(int), np.floor(y / eps).astype(int)
-    for k, at in enumerate(zip(ci.tolist(), cj.tolist(), strict=True)):
-        cells.setdefault(at, []).append(k)
-    boxes = {at: np.array(v) for at, v in cells.items()}
-
-    def near(k: int) -> np.ndarray:
-        own = np.concatenate([boxes[at] for i in (-1, 0, 1) for j in (-1, 0, 1) if (at := (ci[k] + i, cj[k] + j)) in boxes])
-        return own[(x[own] - x[k]) ** 2 + (y[own] - y[k]) ** 2 <= eps * eps]
-
-    labels, label = np.full(len(x), -2), -1
-    for k in range(len(x)):
-        if labels[k] != -2:
-            continue
-        own = near(k)
-        if len(own) < min_pts:
-            labels[k] = -1
-            continue
-        label += 1
-        labels[k], todo = label, own.tolist()
-        while todo:
-            j = todo.pop()
-            if labels[j] == -1:
-                labels[j] = label
-            if labels[j] != -2:
-                continue
-            labels[j] = label
-            more = near(j)
-            if len(more) >= min_pts:
-                todo += more[labels[more] < 0].tolist()
-    return labels
 
+def plane_clusters(x: np.ndarray, y: np.ndarray, eps: float, min_pts: int) -> np.ndarray:
+    """DBSCAN labels in the plane, -1 for noise; a border point joins the cluster of the smallest label.
 
-def roofs(candidates: DataFrame, keys: list[str], *, threshold=0.10, trials=500, max_planes=8, min_pts=300, eps=1.0, min_area=20.0, seed=42) -> DataFrame:
+    Cells of side eps / sqrt(2) that hold min_pts points are all core and one node; other points look
+    at the cells around them. Pairs are taken in blocks, so memory is bounded.
+    """
+    if not len(x):
+        return np.zeros(0, np.int64)
+    side = eps / 2**0.5 * (1 - 1e-9)
+    i, j = np.floor(x / side).astype(np.int64), np.floor(y / side).astype(np.int64)
+    i, j = i - i.min() + 2, j - j.min() + 2
+    key = i * (j.max() + 3) + j
+    order = np.argsort(key, kind="stable")
+    cells, first, size = np.unique(key[order], return_index=True, return_counts=True)
+    cell = np.searchsorted(cells, key)
+    full = size >= min_pts
+    node = np.where(full[cell], order[first][cell], np.arange(len(x)))
+    steps = np.array([a * (j.max() + 3) + b for a in range(-2, 3) for b in range(-2, 3)])
+
+    def pairs(own: np.ndarray, ahead: np.ndarray):
+        """Blocks of (point, point at most eps away) for points ``own`` and the cells ``ahead`` of theirs."""
+        at = np.searchsorted(cells, key[own][:, None] + ahead).clip(0, len(cells) - 1)
+        there = cells[at] == key[own][:, None] + ahead
+        a, c = np.repeat(own, there.sum(1)), at[there]
+        ends = np.cumsum(size[c])
+        lo = 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000)))
+            n = size[c[lo:hi]]
+            p = np.repeat(a[lo:hi], n)
+            q = order[np.repeat(first[c[lo:hi]] + n - np.cumsum(n), n) + np.arange(n.sum())]
+            near = (x[p] - x[q]) ** 2 + (y[p] - y[q]) ** 2 <= eps * eps
+            yield p[near], q[near]
+            lo = hi
+
+    loose = np.flatnonzero(~full[cell])
+    count = np.zeros(len(x), np.int64)
+    for p, _ in pairs(loose, steps):
+        count += np.bincount(p, minlength=len(x))
+    core = full[cell] | (count >= min_pts)
+    links, border = [], np.full(len(x), len(x))
+    for p, q in pairs(loose, steps):
+        to = core[q]
+        p, q = p[to], q[to]
+        links.append(np.unique(np.c_[node[p], node[q]][core[p]], axis=0))
+        border[p] = np.minimum(border[p], len(x) - 1)
+    for a in np.flatnonzero(full):  # two crowded cells are linked by any pair
+        for step in steps[len(steps) // 2 + 1 :]:
+            b = np.searchsorted(cells, cells[a] + step)
+            if b < len(cells) and cells[b] == cells[a] + step and full[b]:
+                p, q = order[first[a] : first[a] + size[a]], order[first[b] : first[b] + size[b]]
+                if any(((x[p[k : k + 1024], None] - x[q]) ** 2 + (y[p[k : k + 1024], None] - y[q]) ** 2 <= eps * eps).any() for k in range(0, len(p), 1024)):
+                    links.append(np.array([[node[p[0]], node[q[0]]]]))
+    root = np.arange(len(x))
+    edges = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+    while len(edges):  # hook larger roots to smaller ones, then follow to the end
+        a, b = root[edges[:, 0]], root[edges[:, 1]]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    labels = np.where(core, root[node], len(x))
+    for p, q in pairs(loose[~core[loose]], steps):
+        to = core[q]
+        np.minimum.at(labels, p[to], labels[q[to]])
+    found, labels = np.unique(labels, return_inverse=True)
+    return np.where(labels == len(found) - 1, -1, labels) if found[-1] == len(x) else labels
+
+
+def roofs(candidates: DataFrame, keys: list[str], *, threshold=0.10, trials=500, max_planes=8, min_pts=300, eps=1.0, min_area=20.0, most=2_000_000, seed=42) -> DataFrame:
     """(keys, point_id, plane): points of near-horizontal planes whose clusters are large enough.
 
-    Up to ``max_planes`` rounds a tile; a steep plane uses its round up, found points are consumed.
+    Up to ``max_planes`` rounds a tile. Planes are sought among at most ``most`` points, thinned by cubes,
+    and take all points close to them. A plane's points are consumed, whether it is steep or
+    its clusters are too small or not.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id", ignore_index=True)
         points, left = pdf[["x", "y", "z"]].to_numpy(float), np.arange(len(pdf))
+        points -= points.mean(0) if len(points) else 0.0
         rng = np.random.default_rng(seed)
-        out: list[tuple[int, int]] = []
+        ids, planes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for plane in range(max_planes):
-            if len(left) < min_pts or (found := ransac_plane(points[left], threshold, trials, rng)) is None:
+            if len(left) < max(min_pts, 3):
+                break
+            sought = thinned(points[left], most)
+            found = best_plane(points[left[sought]], threshold, trials, rng)
+            if found is None:
                 break
-            (normal, inside) = found
-            if inside.sum() < min_pts:
+            inside = np.abs(points[left] @ found[:3] + found[3]) < threshold
+            if inside[sought].sum() < min_pts:
                 break
-            own = left[inside]
-            if abs(normal[2]) < 0.90:
-                left = left[~inside]
+            own, left = left[inside], left[~inside]
+            if abs(found[2]) < 0.90:
                 continue
             labels = plane_clusters(points[own, 0], points[own, 1], eps, min_pts)
-            used = np.zeros(len(own), bool)
             for label in range(labels.max() + 1):
                 at = own[labels == label]
-                if np.ptp(points[at, 0]) * np.ptp(points[at, 1]) >= min_area:
-                    out += [(int(pdf.point_id[k]), plane) for k in at]
-                    used |= labels == label
-            left = left[~np.isin(left, own[used])]
-        frame = pd.DataFrame(out, columns=["point_id", "plane"])
+                if len(at) >= min_pts and np.ptp(points[at, 0]) * np.ptp(points[at, 1]) >= min_area:
+                    ids.append(pdf.point_id.to_numpy()[at])
+                    planes.append(np.full(len(at), plane, np.int32))
+        frame = pd.DataFrame({"point_id": np.concatenate(ids), "plane": np.concatenate(planes)})
         for key in reversed(keys):
             frame.insert(0, key, pdf[key].iloc[0])
         return frame

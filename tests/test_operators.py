@@ -171,6 +171,37 @@ def test_cloth_and_roof(spark):
     assert planes.count() > 350
 
 
+@pytest.mark.parametrize(("n", "size", "min_pts"), [(400, 3.0, 5), (400, 3.0, 40), (1500, 2.0, 30), (50, 30.0, 3)])
+def test_plane_clusters_equal_brute_force(n, size, min_pts):
+    rng = np.random.default_rng(n)
+    x, y = rng.random((2, n)) * size
+    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 0.25 * 0.25
+    core = near.sum(1) >= min_pts
+    label = np.where(core, np.arange(n), n)
+    for _ in range(n):
+        new = np.where(core, np.where(near & core, label, n).min(1), n)
+        if (new == label).all():
+            break
+        label = new
+    label = np.where(core, label, np.where(near & core, label, n).min(1))
+    got = tilewise.plane_clusters(x, y, 0.25, min_pts)
+    assert ((got < 0) == (label == n)).all() and len(set(zip(got.tolist(), label.tolist()))) == len(set(got.tolist()))
+
+
+def test_all_roofs_beside_a_large_rejected_plane(spark):
+    """A wide flat plane of clusters that are too small is consumed once and hides none of three roofs."""
+    rng = np.random.default_rng(2)
+    patches = rng.integers(0, 40, (60, 2)) * 2.5
+    rows = [(*(p + rng.random(2) * 0.8), 3.0) for p in patches for _ in range(40)]
+    rows += [(*(rng.random(2) * 7 + at), z) for at, z in (((5, 5), 8.0), ((40, 10), 8.0), ((60, 60), 14.0)) for _ in range(700)]
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "point_id long, x double, y double, z double")
+    frame = frame.withColumns({"tile_e": F.lit(0).cast("long"), "tile_n": F.lit(0).cast("long")})
+    found = tilewise.roofs(frame, KEYS, min_pts=12, max_planes=5).collect()
+    assert {r.point_id for r in found} == set(range(2400, 4500)) and {r.plane for r in found} == {1, 2}
+    thin = tilewise.roofs(frame, KEYS, min_pts=12, max_planes=5, most=1500).collect()
+    assert len({r.point_id for r in thin} & set(range(2400, 4500))) > 1800
+
+
 def test_colours_without_bands(spark):
     frame = spark.createDataFrame([(10, 20, 5)], "red int, green int, blue int")
     mask, used = color.vegetation_mask(frame, "auto")
