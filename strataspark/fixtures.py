@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
@@ -33,8 +33,15 @@ def with_row_ids(frame: DataFrame, order: tuple[str, ...], name: str, parts: int
     """
     first = F.col(order[0])
     cuts = frame.select(F.percentile_approx(first, [i / parts for i in range(1, parts)]).alias("q")).first().q or []
-    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
-    ranged = frame.withColumn("_part", F.size(F.filter(bounds, lambda b: b < first)) if cuts else F.lit(0))
+    bounds = sorted(set(cuts))
+
+    def below(lo: int, hi: int) -> Column:  # the number of bounds below the value, by halving
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.lit(bounds[mid]) < first, below(mid + 1, hi)).otherwise(below(lo, mid))
+
+    ranged = frame.withColumn("_part", below(0, len(bounds)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy("_part").orderBy(*order)

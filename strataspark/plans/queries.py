@@ -26,6 +26,11 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.with_tile(fixtures.points(importable(spark), sf_dir), TILE)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points as a table, as files of points are, for queries that read them more than once."""
+    return _ws(spark).table(_points(spark, sf_dir), "points")
+
+
 def _micro(column: str) -> Column:
     return F.round(F.col(column), 9) + 0.0  # no negative zero
 
@@ -42,24 +47,24 @@ def _ws(spark: SparkSession) -> Workspace:
 
 
 def raster_of(how: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = _points(spark, sf_dir)
+    pts = _stored(spark, sf_dir)
     return _z(raster.rasterise(raster.with_cells(pts, raster.origins(pts, KEYS), KEYS, CELL), KEYS, how))
 
 
 def voxel_thin_lowest(spark, sf_dir):
-    pts = _points(spark, sf_dir)
+    pts = _stored(spark, sf_dir)
     thin = raster.voxel_thin(raster.with_cells(pts, raster.origins(pts, KEYS), KEYS, CELL), KEYS)
     return thin.select(*KEYS, "r", "c", "point_id", _micro("z").alias("z"), _micro("max_z").alias("max_z"))
 
 
 def wall_filter_cells(spark, sf_dir):
-    pts = _points(spark, sf_dir)
+    pts = _stored(spark, sf_dir)
     thin = raster.wall_filter(raster.voxel_thin(raster.with_cells(pts, raster.origins(pts, KEYS), KEYS, CELL), KEYS), 0.5)
     return thin.select(*KEYS, "r", "c", "point_id")
 
 
 def _filled(spark, sf_dir, extra: int = 1, how: str = "min"):
-    ws, pts = _ws(spark), _points(spark, sf_dir)
+    ws, pts = _ws(spark), _stored(spark, sf_dir)
     boxes = ws.table(raster.origins(pts, KEYS), "boxes")
     cells = raster.with_cells(pts, boxes, KEYS, CELL, extra)
     grid = raster.nearest_fill(raster.dense(raster.rasterise(cells, KEYS, how), boxes, KEYS, CELL, extra), KEYS)
@@ -96,7 +101,7 @@ def nz_bilinear(spark, sf_dir):
 
 
 def _heights(spark, sf_dir, params: Params = GRID):
-    return ground.ground(_points(spark, sf_dir), KEYS, params, _ws(spark))
+    return ground.ground(_stored(spark, sf_dir), KEYS, params, _ws(spark))
 
 
 def _labelled(spark, sf_dir, **more):
@@ -126,7 +131,7 @@ def ground_from_source_class(spark, sf_dir):
 
 
 def model_keypoints(spark, sf_dir):
-    own = _points(spark, sf_dir).withColumn("class", F.col("classification").cast("short"))
+    own = _stored(spark, sf_dir).withColumn("class", F.col("classification").cast("short"))
     return ground.key_points(own, KEYS, 8.0).where("class = 8 and classification = 2").select("point_id", *KEYS)
 
 
@@ -138,7 +143,7 @@ def class_summary(spark, sf_dir):
 
 
 def veg_mask(index: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = _points(spark, sf_dir)
+    pts = _stored(spark, sf_dir)
     mask, used = color.vegetation_mask(pts, index)
     return pts.select("point_id", mask.alias("vegetation"), F.lit(used).alias("index_used"))
 
@@ -171,16 +176,16 @@ def bird_clusters(spark, sf_dir):
 
 
 def voxel_downsample_2d(spark, sf_dir):
-    return cluster.downsample_2d(_points(spark, sf_dir), KEYS, 0.1).select("point_id")
+    return cluster.downsample_2d(_stored(spark, sf_dir), KEYS, 0.1).select("point_id")
 
 
 def voxel_downsample_3d(spark, sf_dir):
-    return cluster.downsample_3d(_points(spark, sf_dir), KEYS, 0.25).select("point_id")
+    return cluster.downsample_3d(_stored(spark, sf_dir), KEYS, 0.25).select("point_id")
 
 
 def cluster_expansion(spark, sf_dir):
     """Candidates within eps of a voxel that belongs to a clump (here: to the supplier's box)."""
-    pts = _points(spark, sf_dir)
+    pts = _stored(spark, sf_dir)
     members = pts.where("zi between 60 and 400 and classification = 1").withColumn("cluster", F.col("tile_e"))
     return cluster.expand(members, pts, KEYS, 0.3).select("point_id", "cluster")
 
@@ -198,7 +203,7 @@ def tile_index_bbox(spark, sf_dir):
 
 
 def tile_halo(spark, sf_dir):
-    own = tiling.with_halo(_points(spark, sf_dir).drop(*KEYS), TILE, 5.0)
+    own = tiling.with_halo(_stored(spark, sf_dir).drop(*KEYS), TILE, 5.0)
     return own.select("point_id", *KEYS, "is_core")
 
 
@@ -215,7 +220,7 @@ def auto_tile_size(spark, sf_dir):
 
 
 def merge_compatible(spark, sf_dir):
-    own = _points(spark, sf_dir).withColumns({"src_file": F.concat(F.lit("f"), F.col("scan_id")), "point_format": F.when(F.col("scan_id") % 3 == 0, 6).otherwise(7)})
+    own = _stored(spark, sf_dir).withColumns({"src_file": F.concat(F.lit("f"), F.col("scan_id")), "point_format": F.when(F.col("scan_id") % 3 == 0, 6).otherwise(7)})
     return tiling.merge_compatible(own, "src_file", "point_format").groupBy("src_file").agg(F.count("*").alias("n"))
 
 
@@ -255,7 +260,7 @@ def scan_type_detect(spark, sf_dir):
 
 def scan_type_variants(spark, sf_dir):
     """The detector on constant, colour-like and missing intensities."""
-    pts = _points(spark, sf_dir)
+    pts = _stored(spark, sf_dir)
     forms = {
         "constant": pts.withColumn("intensity", F.lit(7)),
         "colour": pts.withColumn("intensity", (F.col("red") + F.col("green") + F.col("blue")) / 3.0),
@@ -309,7 +314,7 @@ def block_dedupe(spark, sf_dir):
 
 
 def cloth_ground(spark, sf_dir):
-    pts = _points(spark, sf_dir)
+    pts = _stored(spark, sf_dir)
     thin = raster.voxel_thin(raster.with_cells(pts, raster.origins(pts, KEYS), KEYS, 0.5), KEYS)
     return tilewise.cloth_ground(thin, KEYS, resolution=1.0, iterations=300).select("point_id", *KEYS)
 
@@ -321,17 +326,17 @@ def ransac_roof(spark, sf_dir):
 
 def classify_photogrammetry(spark, sf_dir):
     p = replace(GRID, point_cloud_source="photogrammetry", building_min_cluster_pts=30, building_min_area_m2=5.0)
-    return classify.class_counts(classify.classify(_points(spark, sf_dir).drop(*KEYS), p).points)
+    return classify.class_counts(classify.classify(_stored(spark, sf_dir).drop(*KEYS), p).points)
 
 
 def classify_slam(spark, sf_dir):
     p = Params(tile_size=TILE, point_cloud_source="slam", surface_lookup="bilinear", csf_voxel_size=0.5)
-    return classify.class_counts(classify.classify(_points(spark, sf_dir).drop(*KEYS), p).points)
+    return classify.class_counts(classify.classify(_stored(spark, sf_dir).drop(*KEYS), p).points)
 
 
 def classify_lidar(spark, sf_dir):
     """Every step of the lidar mode with halos: labels, clusters and model key points."""
-    return classify.class_counts(classify.classify(_points(spark, sf_dir).drop(*KEYS), replace(GRID, classify_model_keys=True)).points)
+    return classify.class_counts(classify.classify(_stored(spark, sf_dir).drop(*KEYS), replace(GRID, classify_model_keys=True)).points)
 
 
 # -- SQL -------------------------------------------------------------------------------------------
