@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -129,4 +130,19 @@ def run_summary(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy(group.alias("status")).agg(F.count("*").alias("n_tiles"), F.sum("n_clusters").alias("n_clusters"))
 
 
-
+def classify_each(clouds: dict[str, DataFrame], params: Params | None, save: Callable[[str, Classified], None]) -> list[tuple]:
+    """(src_file, status, reason, n_points, n_ground, n_bird, n_clusters) of each cloud, classified by itself and saved.
+
+    A cloud that fails gets the status FAILED and its error; the others go on.
+    """
+    rows = []
+    for name, points in clouds.items():
+        try:
+            done = classify(points, params)
+            save(name, done)
+            sums = done.tiles.agg(*(F.sum(c).alias(c) for c in ("n_points", "n_ground", "n_bird", "n_clusters"))).first()
+            status = "PROCESSED" if sums.n_clusters else "SKIPPED"
+            rows.append((name, status, None if sums.n_clusters else "no clusters", *(int(v or 0) for v in sums)))
+        except Exception as error:  # one file must not end the batch
+            rows.append((name, "FAILED", str(error).partition("\n")[0][:300], 0, 0, 0, 0))
+    return rows

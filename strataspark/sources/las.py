@@ -1,8 +1,11 @@
 """LAS files as a Spark data source: points and headers in, points out.
 
 ``spark.read.format("las").load(path)`` takes a file, a folder or a pattern (options: pattern,
-recursive, chunk = points of a partition); ``las_headers`` gives a row a file without reading
-points; ``df.write.format("las").mode("append").save(folder)`` writes a file for each partition.
+recursive, chunk = points of a partition, record = true for each point's whole record as bytes);
+``las_headers`` gives a row a file without reading points; ``df.write.format("las").mode("append").save(folder)``
+writes a file for each partition. With the option template, a LAS file, and the column record, files keep the
+template's point format, scales, offsets, variable-length records and all dimensions of each point; only the
+class is set, and counts and bounds are made anew.
 Compressed LAZ needs a decoder that isn't bundled and raises a clear error.
 """
 
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # Fixed values of the LAS specification: what each point format holds after the common fields.
 _GPS, _RGB, _NIR = frozenset((1, 3, 4, 5, 6, 7, 8, 9, 10)), frozenset((2, 3, 5, 7, 8, 10)), frozenset((8, 10))
@@ -119,7 +122,7 @@ class _Points(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.files = find(options["path"], options.get("pattern", "*.la[sz]"), options.get("recursive", "false") == "true")
-        self.chunk = int(options.get("chunk", 2_000_000))
+        self.chunk, self.record = int(options.get("chunk", 2_000_000)), options.get("record", "false") == "true"
 
     def partitions(self):
         out, before = [], 0
@@ -139,8 +142,13 @@ class _Reader(DataSourceReader):
             for at in range(0, partition.count, 200_000):
                 n = min(200_000, partition.count - at)
                 f.seek(header.offset + (partition.first + at) * kind.itemsize)
-                p = np.frombuffer(f.read(n * kind.itemsize), kind)
-                yield pa.RecordBatch.from_arrays(self._columns(p, header, partition, at), names=[c.split()[0] for c in SCHEMA.split(", ")])
+                raw = f.read(n * kind.itemsize)
+                p = np.frombuffer(raw, kind)
+                columns, names = self._columns(p, header, partition, at), [c.split()[0] for c in SCHEMA.split(", ")]
+                if self.record:
+                    borders = pa.py_buffer((np.arange(n + 1) * kind.itemsize).astype(np.int32))
+                    columns, names = [*columns, pa.Array.from_buffers(pa.binary(), n, [None, borders, pa.py_buffer(raw)])], [*names, "record"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     @staticmethod
     def _columns(p, header, partition, at):
@@ -191,56 +199,87 @@ def header_bytes(minor: int, fmt: int, count: int, scales, offsets, bounds, retu
     return bytes(out)
 
 
-class _Writer(DataSourceWriter):
-    """Options: point_format (default 8), version (1.2 to 1.4), scale (0.001), label (column of the class)."""
+def template_bytes(raw: bytes, header: Header, count: int, bounds, returns) -> bytes:
+    """The template's bytes before its points, with counts and bounds of the new ones."""
+    out, fmt = bytearray(raw), header.point_format
+    struct.pack_into("<I", out, 107, count if fmt < 6 and count < 2**32 else 0)
+    struct.pack_into("<5I", out, 111, *(returns[:5] if fmt < 6 else [0] * 5))
+    struct.pack_into("<6d", out, 179, *bounds)
+    if header.minor >= 4 and header.size >= 375:
+        struct.pack_into("<QI", out, 235, 0, 0)  # extended records stand after the points, which aren't copied
+        struct.pack_into("<Q", out, 247, count)
+        struct.pack_into("<15Q", out, 255, *returns[:15])
+    return bytes(out)
+
+
+class _Writer(DataSourceArrowWriter):
+    """Options: point_format (default 8), version (1.2 to 1.4), scale (0.001), label (column of the class), template."""
 
     def __init__(self, options, schema):
-        self.folder, self.fmt = options["path"], int(options.get("point_format", 8))
-        self.minor = int(options.get("version", "1.4").split(".")[1])
-        self.scale, self.label = float(options.get("scale", 0.001)), options.get("label", "class" if "class" in schema.names else "classification")
+        self.folder, self.template = options["path"], options.get("template")
+        self.label = options.get("label", "class" if "class" in schema.names else "classification")
+        if self.template:
+            if "record" not in schema.names:
+                raise ValueError("a template needs the column record; read with the option record = true")
+            header = read_header(self.template)
+            self.fmt, self.minor, self.length = header.point_format, header.minor, header.record
+            self.scales, self.offsets = np.array(header.scales), np.array(header.offsets)
+            return
+        self.fmt, self.minor = int(options.get("point_format", 8)), int(options.get("version", "1.4").split(".")[1])
+        self.length, self.scales, self.offsets = _LENGTHS[self.fmt], np.full(3, float(options.get("scale", 0.001))), None
         if self.fmt >= 6 and self.minor < 4:
             raise ValueError("point formats from 6 on need version 1.4")
 
-    def write(self, rows):
-        kind = point_type(self.fmt, _LENGTHS[self.fmt])
+    def _packed(self, batch: pa.RecordBatch, kind: np.dtype) -> np.ndarray:
+        """The records of a batch."""
+        n = batch.num_rows
+        column = lambda c, default=0: batch.column(c).fill_null(default).to_numpy(zero_copy_only=False) if c in batch.schema.names else np.full(n, default)
+        if self.template:
+            p = np.frombuffer(bytearray(b"".join(batch.column("record").to_pylist())), kind)  # a copy would lose extra bytes
+            known = batch.column(self.label).is_valid().to_numpy(zero_copy_only=False) if self.label in batch.schema.names else np.zeros(n, bool)
+            flags = p["classification"] & (0xE0 if self.fmt < 6 else 0)
+            p["classification"] = np.where(known, flags | column(self.label).astype(np.uint8), p["classification"])
+            return p
+        xyz = np.stack([column(v, 0.0) for v in "xyz"], 1).astype(float)
+        if self.offsets is None:
+            self.offsets = np.floor(xyz.min(0))
+        p = np.zeros(n, kind)
+        for k, v in enumerate("XYZ"):
+            p[v] = np.rint((xyz[:, k] - self.offsets[k]) / self.scales[k])
+        for c in ("intensity", "red", "green", "blue", "nir"):
+            if c in p.dtype.names:
+                p[c] = column(c)
+        p["classification"] = column(self.label, 1)
+        p["returns"] = np.clip(column("return_number", 1), 1, 15 if self.fmt >= 6 else 7)
+        return p
+
+    def write(self, batches):
+        kind = point_type(self.fmt, self.length)
         system, local = _filesystem(self.folder)
         system.create_dir(local, recursive=True)
         path = f"{local}/part-{uuid.uuid4().hex}.las"
-        count, returns, lo, hi, offsets = 0, np.zeros(15, np.int64), None, None, None
-        batch: list = []
-
-        def pack(rows_):
-            nonlocal count, lo, hi, offsets
-            xyz = np.array([[r["x"], r["y"], r["z"]] for r in rows_], float)
-            if offsets is None:
-                offsets = np.floor(xyz.min(0))
-            p = np.zeros(len(rows_), kind)
-            for k, v in enumerate("XYZ"):
-                p[v] = np.rint((xyz[:, k] - offsets[k]) / self.scale)
-            for c in ("intensity", "red", "green", "blue", "nir"):
-                if c in p.dtype.names:
-                    p[c] = [(r[c] if c in r and r[c] is not None else 0) for r in rows_]
-            p["classification"] = [(r[self.label] if self.label in r and r[self.label] is not None else 1) for r in rows_]
-            number = np.array([max(1, r["return_number"] or 1) if "return_number" in r else 1 for r in rows_])
-            p["returns"] = np.minimum(number, 15 if self.fmt >= 6 else 7)
-            np.add.at(returns, np.minimum(number, 15) - 1, 1)
-            low, high = xyz.min(0), xyz.max(0)
-            lo, hi = (low, high) if lo is None else (np.minimum(lo, low), np.maximum(hi, high))
-            count += len(rows_)
-            return p.tobytes()
-
+        count, returns, lo, hi = 0, np.zeros(15, np.int64), np.full(3, np.inf), np.full(3, -np.inf)
         with system.open_output_stream(path + ".points") as body:
-            for row in rows:
-                batch.append(row)
-                if len(batch) == 100_000:
-                    body.write(pack(batch))
-                    batch = []
-            if batch:
-                body.write(pack(batch))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                p = self._packed(batch, kind)
+                number = p["returns"] & (15 if self.fmt >= 6 else 7)
+                returns += np.bincount(np.clip(number, 1, 15) - 1, minlength=15)
+                xyz = np.stack([p[v] for v in "XYZ"], 1) * self.scales + self.offsets
+                lo, hi, count = np.minimum(lo, xyz.min(0)), np.maximum(hi, xyz.max(0)), count + len(p)
+                body.write(p.tobytes() if p.base is None else p.base)
         if count:
             bounds = [v for k in range(3) for v in (hi[k], lo[k])]
+            if self.template:
+                header = read_header(self.template)
+                own, at = _filesystem(self.template)
+                with own.open_input_file(at) as f:
+                    head = template_bytes(f.read(header.offset), header, count, bounds, returns.tolist())
+            else:
+                head = header_bytes(self.minor, self.fmt, count, self.scales, self.offsets, bounds, returns.tolist())
             with system.open_output_stream(path) as out, system.open_input_stream(path + ".points") as body:
-                out.write(header_bytes(self.minor, self.fmt, count, [self.scale] * 3, offsets, bounds, returns.tolist()))
+                out.write(head)
                 while chunk := body.read(1 << 22):
                     out.write(chunk)
         system.delete_file(path + ".points")
@@ -258,7 +297,7 @@ class LasSource(DataSource):
         return "las"
 
     def schema(self):
-        return SCHEMA
+        return f"{SCHEMA}, record binary" if self.options.get("record", "false") == "true" else SCHEMA
 
     def reader(self, schema):
         return _Reader(self.options)

@@ -84,3 +84,50 @@ def test_writers_share_settings(spark):
     with storage.writing(spark), storage.writing(spark):
         assert spark.conf.get(key) == "2000"
     assert spark.conf.get(key) == before and not storage._WRITERS
+
+
+def test_template_keeps_dimensions_and_records(spark, tmp_path):
+    """A file with times, extra bytes and a variable-length record comes back byte for byte but for the classes."""
+    rng = np.random.default_rng(4)
+    kind = las.point_type(7, 40)
+    raw_points = bytearray(rng.integers(0, 256, 300 * 40, dtype=np.uint8).tobytes())
+    p = np.frombuffer(raw_points, kind)
+    p["returns"], p["classification"] = 1, 1
+    vlr = bytes(range(54)) + b"wkt!" * 5
+    head = bytearray(las.header_bytes(4, 7, 300, [0.01] * 3, [100.0, 200.0, 0.0], [0] * 6, [300] + [0] * 14))
+    head[96:100], head[100:104], head[105:107] = (len(head) + len(vlr)).to_bytes(4, "little"), (1).to_bytes(4, "little"), (40).to_bytes(2, "little")
+    path = tmp_path / "in.las"
+    path.write_bytes(bytes(head) + vlr + raw_points)
+    points = tables.read_points(spark, str(path), record="true")
+    out = str(tmp_path / "out")
+    points.coalesce(1).withColumn("class", F.when(F.col("point_id") % 2 == 0, 20)).write.format("las").option("template", str(path)).mode("append").save(out)
+    raw = open(las.find(out)[0], "rb").read()
+    h = las.parse_header(raw, "x")
+    assert (h.record, h.scales, h.offsets, h.count) == (40, (0.01,) * 3, (100.0, 200.0, 0.0), 300) and raw[h.size : h.offset] == vlr
+    p["classification"][1::2] = 20
+    assert raw[h.offset :] == bytes(raw_points) and abs(h.bounds[0] - (p["X"].max() * 0.01 + 100)) < 1e-6
+    with pytest.raises(ValueError, match="record"):
+        las._Writer({"path": out, "template": str(path)}, points.drop("record").schema)
+
+
+def test_several_inputs(spark, cloud, tmp_path, capsys):
+    """Ids don't meet, other point formats are skipped, files have a status each, and folders are known by their files."""
+    from strataspark.__main__ import main
+
+    las.register(spark)
+    for name, fmt in (("a", 8), ("b", 8), ("c", 7)):
+        cloud.coalesce(1).write.format("las").option("point_format", fmt).mode("append").save(str(tmp_path / name))
+    paths = [str(tmp_path / n) for n in "abc"]
+    clouds, formats = tables.read_all(spark, paths)
+    assert formats == [8, 8, 7]
+    merged, skipped = tiling.merge(clouds, formats)
+    assert skipped == [2] and merged.select("point_id").distinct().count() == 1000
+    common = ["--tile-size", "20", "--ground-method", "grid", "--smooth-passes", "1"]
+    main(["classify", *paths, "--out", str(tmp_path / "one"), *common])
+    assert "skipped" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "one" / "points")).groupBy("point_id").count().where("count > 1").isEmpty()
+    (tmp_path / "bad").mkdir()
+    spark.createDataFrame([(1, "x")], "point_id long, x string").write.parquet(str(tmp_path / "bad" / "p"))
+    main(["batch", paths[0], str(tmp_path / "bad" / "p"), paths[2], "--out", str(tmp_path / "each"), *common])
+    rows = spark.read.csv(str(tmp_path / "each" / "status"), header=True, inferSchema=True).orderBy("src_file").collect()
+    assert [(r.status == "FAILED", r.n_points) for r in rows] == [(False, 500), (True, 0), (False, 500)]
