@@ -123,6 +123,20 @@ def test_sketch_estimates():
     assert abs(j - 2500 / 3500) < 0.15
 
 
+@pytest.mark.parametrize("size", [9, 45, 180, 900])
+def test_links_at_the_threshold_meet(size):
+    """Of 3,000 pairs whose similarity is exactly 80 per cent, all share a band and none is estimated away."""
+    rng = np.random.default_rng(size)
+    common, own = 8 * size // 9, size // 9  # intersection / union = 8 / 10
+    pool = rng.integers(0, 2**63, (3000, common + 2 * own)).astype(np.uint64)
+    regs = [near_dedup.registers(np.concatenate(x), np.arange(3001) * (common + own)) for x in (pool[:, : common + own], np.hstack([pool[:, :common], pool[:, common + own :]]))]
+    bands = near_dedup._bands(near_dedup.ROWS, near_dedup.BANDS, near_dedup.REGISTERS)
+    same = (regs[0] == regs[1])[:, bands].all(2).any(1)
+    n = np.full(3000, float(common + own))
+    close = near_dedup.estimate(*regs, n, n) >= 0.8 - near_dedup.MARGIN
+    assert same.all() and close.all()
+
+
 def brute_repeats(rows):
     seen, out = {}, {}
     own = {i: words(t) for i, t in rows}
