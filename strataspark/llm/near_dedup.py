@@ -10,7 +10,9 @@ similarity, and pairs whose estimate is not clearly below the threshold are veri
 Documents with equal sets become one class before anything is paired. Inside a band's bucket each
 document is paired with the bucket's most central one only; then, where a bucket still holds more than one
 component, its documents outside the bucket's main component are compared with all others, so no
-link that joins two components is lost and no group emits all its pairs.
+link that joins two components is lost. Documents of the main component, the bulk of a large group,
+aren't compared with each other; a stray of a large bucket meets those that share one of its rarest
+shingles, of matching length and place.
 """
 
 from __future__ import annotations

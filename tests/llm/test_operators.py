@@ -523,3 +523,31 @@ def test_quantised_vectors():
     assert np.abs(np.frombuffer(raw, np.int16) * scale - x).max() <= scale * 0.51
     assert ann.quantised(np.full(3, 1e-300))[0] == bytes(6)
     assert np.isfinite(ann.quantised(np.array([1e300, 0.0]))[1])
+
+
+def test_very_long_texts(spark):
+    """A text of 400,000 words beside its copy, a near copy and a short one, through every operator that reads texts."""
+    rng = np.random.default_rng(11)
+    own = [f"w{int(k)}" for k in rng.integers(0, 200_000, 400_000)]
+    own[200_000:200_002] = ["MIT", "license"]
+    own[399_000] = "someone@mail.example.org"
+    near = list(own)
+    near[5:50_000:5000] = ["changed"] * 10
+    item = " ".join(own[300_000:300_030])
+    frame = spark.createDataFrame([(1, " ".join(own), "a"), (2, " ".join(own), "a"), (3, " ".join(near), "a"), (4, "short", "b")], "doc_id long, text string, source string").repartition(4)
+    scan = {r.doc_id: r for r in license_scan.scan_licenses(frame).collect()}
+    # the address makes four words: someone, mail, example, org
+    assert (scan[1].n_words, scan[1].n_base, scan[1].first_word) == (400_003, 1, 200_000)
+    groups = {r.doc_id: r.component_id for r in near_dedup.NearDuplicates(5, 80).run(frame).collect()}
+    assert groups == {1: 1, 2: 1, 3: 1, 4: 4}
+    gone = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(frame, 2, digest=True).collect()}
+    assert gone[1] == gone[4] == 0 and gone[2] == 400_000 and gone[3] == 400_000 - 10 - 5  # the first five words are in no window without a changed one
+    names = {r.doc_id: r for r in pii.replace_entities(frame, b"k").collect()}
+    assert names[1].n_entities == 1 and names[1].text == names[2].text and "someone@" not in names[1].text
+    leaks = {r.doc_id: r.first_word for r in decontam.find_leaks(frame, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert leaks == {1: 300_000, 2: 300_000, 3: 300_000}
+    assert sharding.shard_rows(frame, 2).count() == 4 and mixing.mix_sources(frame, {"a": 1, "b": 1}).where("doc_id < 4 and length(text) < 1000000").isEmpty()
+    model = quality.train(frame, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int"))
+    assert quality.score(frame, model).count() == 4
+    page = "<article>" + "".join(f"<p>{' '.join(own[i : i + 50])}</p>" for i in range(0, 400_000, 50)) + "</article>"
+    assert html_text.main_text(page).split() == own
