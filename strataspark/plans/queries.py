@@ -329,6 +329,20 @@ def classify_photogrammetry(spark, sf_dir):
     return classify.class_counts(classify.classify(_stored(spark, sf_dir).drop(*KEYS), p).points)
 
 
+def classify_photo_vegetation(spark, sf_dir):
+    """The photogrammetry mode without its plane search: vegetation by colour, then by height."""
+    p = replace(GRID, point_cloud_source="photogrammetry", detect_buildings=False)
+    return classify.classify(_stored(spark, sf_dir).drop(*KEYS), p).points.select("point_id", F.col("class").cast("int").alias("class"))
+
+
+def classify_from_file(spark, sf_dir):
+    """The lidar mode on the source's ground classes; tiles with too few of them stay as they are."""
+    poor = (F.col("x") < 20) & (F.col("y") < 20) & (F.col("point_id") % 997 != 0)  # one tile gets too few ground labels
+    own = _stored(spark, sf_dir).drop(*KEYS).withColumn("classification", F.when(poor, 1).otherwise(F.col("classification")))
+    done = classify.classify(own, replace(GRID, ground_source="from_file", candidate_share=0.0, buffer_m=0.0))
+    return done.tiles.select(*KEYS, "status", "reason", "n_points", "n_ground")
+
+
 def classify_slam(spark, sf_dir):
     p = Params(tile_size=TILE, point_cloud_source="slam", surface_lookup="bilinear", csf_voxel_size=0.5)
     return classify.class_counts(classify.classify(_stored(spark, sf_dir).drop(*KEYS), p).points)
@@ -407,14 +421,23 @@ def _veg_sql(index: str) -> str:
     return f"with {_PTS} select point_id, {test} as vegetation, '{used}' as index_used from pts"
 
 
-def _lidar() -> str:
-    """The whole lidar mode: halo, grid ground, candidates, clusters, labels, key points."""
+#: Points over the mean surface of the source's ground, and whether they are candidates.
+_FROM_FILE = f"""with {_BOX.replace("from pts", "from own")}, {_cells(2, "own")}, {_raster("avg", 2, "classification in (2, 8)")}
+select p.te, p.tn, coalesce(p.z - s.z between 0.02e0 and 0.40e0 and classification not in (2, 8), false) as is_found from cells p left join filled s using (te, tn, r, c)"""
+
+
+def _halo_heights() -> str:
+    """Heights of each tile's own points over the grid ground made with its halo."""
     halo = f"""all_pts as ({_PTS.split("as (", 1)[1]},
 tiles as (select te, tn, min(x) x0, min(y) y0, max(x) x1, max(y) y1 from all_pts group by te, tn),
 pts as (select p.* exclude (te, tn), t.te, t.tn, p.te = t.te and p.tn = t.tn as is_core from all_pts p join tiles t
   on p.te between t.te - 20 and t.te + 20 and p.tn between t.tn - 20 and t.tn + 20 and p.x between t.x0 - 5 and t.x1 + 5 and p.y between t.y0 - 5 and t.y1 + 5)"""
-    steps = _FOUND.replace(f"with {_PTS}", f"with recursive {halo}", 1).replace("join surface s using (te, tn, r, c))", "join surface s using (te, tn, r, c) where is_core)")
-    return f"""{steps},
+    return _FOUND.replace(f"with {_PTS}", f"with recursive {halo}", 1).replace("join surface s using (te, tn, r, c))", "join surface s using (te, tn, r, c) where is_core)")
+
+
+def _lidar() -> str:
+    """The whole lidar mode: halo, grid ground, candidates, clusters, labels, key points."""
+    return f"""{_halo_heights()},
 allowed as (select f.* from found f join (select te, tn, count(*) n from heights group by te, tn) p using (te, tn) join (select te, tn, count(*) n from found group by te, tn) m using (te, tn) where m.n >= 8 and m.n / p.n <= 0.05e0),
 {_CLUSTERS.replace("found", "allowed")},
 sized as (select te, tn, cluster, (max(x) - min(x)) * (max(y) - min(y)) a from member join allowed on id = point_id group by te, tn, cluster),
@@ -462,6 +485,12 @@ select arg_min(point_id, (z, point_id)) point_id, {_T} from own join box using (
 select {_T}, cluster as cluster_id, count(*) point_count, round(avg(x), 9) x_centroid, round(avg(y), 9) y_centroid, round(avg(z), 9) z_centroid, round(avg(nz), 9) nz_mean, round((max(x) - min(x)) * (max(y) - min(y)), 9) footprint_m2
 from member join found on id = point_id group by te, tn, cluster having (max(x) - min(x)) * (max(y) - min(y)) between 0.005e0 and 1""",
     "classify_lidar": _lidar(),
+    "classify_photo_vegetation": f"""{_halo_heights()} select point_id, case when ground then 2 when nz <= -0.1e0 then 7 when nz >= 0.1e0 and nz < 1 then 3
+when nz >= 1 and nz < 3 then 4 when nz >= 3 then 5 when {_SINGLE["ndvi"][0]} then 3 else 1 end as class from heights""",
+    "classify_from_file": f"""with {_PTS}, own as (select * exclude (classification), case when x < 20 and y < 20 and point_id % 997 <> 0 then 1 else classification end as classification from pts),
+n as (select te, tn, count(*) n_points, count(*) filter (classification in (2, 8)) n_ground from own group by te, tn)
+select {_T}, 'SKIPPED' as status, case when n_ground < 50 then 'too few ground points' else reason end as reason, n_points, n_ground from n join
+(select te, tn, case when count(*) filter (is_found) < 8 then 'too few candidates' else 'too many candidates' end as reason from ({_FROM_FILE}) q group by te, tn) g using (te, tn)""",
     "voxel_downsample_2d": f"with {_PTS} select min(point_id) point_id from pts group by te, tn, floor(x / 0.1e0), floor(y / 0.1e0)",
     "voxel_downsample_3d": f"with {_PTS} select min(point_id) point_id from pts group by te, tn, floor(x / 0.25e0), floor(y / 0.25e0), floor(z / 0.25e0)",
     "cluster_expansion": f"""with {_PTS}, members as (select *, floor(x / 0.3e0)::int i, floor(y / 0.3e0)::int j from pts where zi between 60 and 400 and classification = 1),
@@ -501,7 +530,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         voxel_thin_lowest, wall_filter_cells, nearest_fill, focal_opening, median_smooth, nz_nearest, nz_bilinear, ground_grid_classify, probable_ground, height_bands,
         ground_from_source_class, model_keypoints, class_summary, bird_candidates, candidate_guard, bird_clusters, voxel_downsample_2d, voxel_downsample_3d, cluster_expansion,
         tile_assign, tile_index_bbox, tile_halo, tile_name_parse, auto_tile_size, merge_compatible, bbox_scan, head_sample, header_scan, tile_status, scan_type_detect,
-        scan_type_variants, e57_normalise, scan_count, ground_support, run_summary, rgb_audit, block_dedupe, cloth_ground, ransac_roof, classify_lidar, classify_photogrammetry, classify_slam,
+        scan_type_variants, e57_normalise, scan_count, ground_support, run_summary, rgb_audit, block_dedupe, cloth_ground, ransac_roof, classify_lidar, classify_photogrammetry, classify_photo_vegetation, classify_from_file, classify_slam,
     )
     out = {f.__name__: f for f in named}
     out |= {"grid_min_raster": partial(raster_of, "min"), "grid_mean_raster": partial(raster_of, "mean")}
