@@ -103,7 +103,7 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     parts = max(LEAST_PARTS, -(-total // PART_ROWS))
     cells = max(-(-LEAST_PARTS // shards), -(-total // (shards * CELL_ROWS)))
     keyed = keyed.withColumn(p, F.pmod(F.xxhash64(F.lit(seed + 1), h), F.lit(parts)))
-    counted = lambda: {r[0]: r[1] for r in keyed.groupBy(p).count().toLocalIterator()}
+    counted = lambda: {r[0]: r[1] for r in keyed.groupBy(p).count().collect()}
     counts = counted()
     full = [i for i, n in counts.items() if n > 3 * PART_ROWS]
     if full:
@@ -130,7 +130,7 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         return placed.withColumn(cell, F.pmod(F.xxhash64(F.lit(seed + 3), h, copy), F.lit(cells)))
 
     found = sharded(keyed.select(h, p, copy)).groupBy("shard", cell).count()
-    filled = {(r[0], r[1]): r[2] for r in found.toLocalIterator()}
+    filled = {(r[0], r[1]): r[2] for r in found.collect()}
     starts, at = [], 0
     for s in range(shards):
         at = 0
