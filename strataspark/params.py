@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class Params:
+    # The documented defaults, which results depend on.
     tile_size: float = 100.0
     buffer_m: float = 5.0
     ground_source: str = "compute"  # compute | from_file
