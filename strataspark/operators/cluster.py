@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
@@ -10,17 +10,8 @@ from .components import components
 
 #: Pairs of points that two cells may list to find one within reach.
 LISTED = 4096
-
-
-def neighbour_pairs(points: DataFrame, keys: list[str], eps: float, other: DataFrame | None = None) -> DataFrame:
-    """(keys, a, b) with distance <= eps in the plane, self pairs included; a hash join on cells of side eps."""
-    cell = lambda v: F.floor(F.col(v) / eps)
-    left = points.select(*keys, F.col("point_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("i"), cell("y").alias("j"))
-    near = F.explode(F.array(*(F.struct((F.col("i") + i).alias("i"), (F.col("j") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    left = left.withColumn("n", near).select(*keys, "a", "ax", "ay", "n.i", "n.j")
-    right = (points if other is None else other).select(*keys, F.col("point_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("i"), cell("y").alias("j"))
-    d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    return left.join(right, [*keys, "i", "j"]).where(d2 <= eps * eps).select(*keys, "a", "b")
+#: Places of a cell that its neighbours' points meet one by one, and how often cells of more are halved.
+FEW, LEVELS = 64, 20
 
 
 def dbscan(points: DataFrame, keys: list[str], eps: float, min_pts: int, ws: Workspace) -> DataFrame:
@@ -149,11 +140,75 @@ def downsample_3d(points: DataFrame, keys: list[str], cell: float, most: int | N
     return points.join(first, "point_id", "left_semi")
 
 
-def expand(members: DataFrame, points: DataFrame, keys: list[str], eps: float) -> DataFrame:
-    """(keys, point_id, cluster): points within eps of any member(point_id, x, y, cluster); possibly in several clusters."""
-    pairs = neighbour_pairs(points, keys, eps, members)
-    labels = members.select(F.col("point_id").alias("b"), "cluster")
-    return pairs.join(labels, "b").select(*keys, F.col("a").alias("point_id"), "cluster").distinct()
+def expand(members: DataFrame, points: DataFrame, keys: list[str], eps: float, ws: Workspace) -> DataFrame:
+    """(keys, point_id, cluster): points within eps of any member(x, y, cluster); possibly in several clusters.
+
+    Whether a member is in reach counts, not how many are, so points meet boxes: one around a
+    cluster's members in the point's own cell of side eps / sqrt(2), which is in reach, and only in
+    cells without such members the members of the cells around, or a cell's box where it has more
+    than ``FEW`` places. Members without a cluster or a finite place are in reach of nothing.
+    """
+    side = eps / 2**0.5 * (1 - 1e-6)
+    cell = lambda v, name, size=side: F.floor(F.col(v) / size).alias(name)
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    spots = ws.table(members.where(finite & F.col("cluster").isNotNull()).select(*keys, F.col("cluster").alias("node"), "x", "y").distinct(), "spots")
+    boxes = ws.table(_boxes(spots, keys, side), "boxes")
+    corners = ["x0", "x1", "y0", "y1"]
+    inner = boxes.select(*keys, "i", "j", "node", F.col("i").alias("bi"), F.col("j").alias("bj"), "m", *corners)
+    places = spots.select(*keys, "node", cell("x", "i"), cell("y", "j"), F.lit(1).cast("long").alias("m"), *(F.col(c[0]).alias(c) for c in corners))
+    places = places.join(boxes.where(F.col("m") <= FEW).select(*keys, "node", "i", "j"), [*keys, "node", "i", "j"], "left_semi")
+    around = F.explode(F.array(*(F.struct((F.col("i") + i).alias("i"), (F.col("j") + j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if i or j)))
+    outer = boxes.where(F.col("m") > FEW).select(*places.columns).union(places).withColumn("c", around)
+    outer = outer.select(*keys, "c.i", "c.j", "node", F.col("i").alias("bi"), F.col("j").alias("bj"), "m", *corners)
+    marks = inner.union(outer.join(boxes.select(*keys, "i", "j", "node"), [*keys, "i", "j", "node"], "left_anti"))
+    met = points.where(finite).select(*keys, "point_id", "x", "y", cell("x", "i"), cell("y", "j")).join(marks, [*keys, "i", "j"])
+    sure, maybe = _reach(eps)
+    # rows stand by cell already, so this needs no further shuffle
+    found = met.where(sure).select(*keys, "i", "j", "point_id", "node").distinct().select(*keys, "point_id", "node")
+    # beyond 2^31 cells the same cell no longer proves reach
+    far = side * 2.0**31
+    if not boxes.where((F.col("m") > FEW) | (F.greatest(*(F.abs(c) for c in corners)) >= far)).isEmpty():
+        found = ws.table(found, "found")
+        left = met.where(maybe & ~sure & (F.col("m") > 1)).select(*keys, "point_id", "x", "y", "node", "bi", "bj", "m")
+        found = found.union(_settled(left.join(found, [*keys, "point_id", "node"], "left_anti"), spots, keys, eps, side, far, ws))
+    return found.withColumnRenamed("node", "cluster")
+
+
+def _reach(eps: float) -> tuple[Column, Column]:
+    """Whether all, and whether any, of the box (x0, x1, y0, y1) can be within eps of (x, y)."""
+    zero = F.lit(0.0)
+    near = [F.greatest(F.col(f"{v}0") - F.col(v), F.col(v) - F.col(f"{v}1"), zero) for v in "xy"]
+    away = [F.greatest(F.col(f"{v}1") - F.col(v), F.col(v) - F.col(f"{v}0")) for v in "xy"]
+    square = lambda d: d[0] * d[0] + d[1] * d[1]
+    return square(away) <= eps * eps, square(near) <= eps * eps
+
+
+def _settled(left: DataFrame, spots: DataFrame, keys: list[str], eps: float, size: float, far: float, ws: Workspace) -> DataFrame:
+    """(keys, point_id, node) of those points of ``left`` that have one of ``spots`` in reach.
+
+    Boxes of few places, or after ``LEVELS`` halvings, list them; others are halved each way.
+    """
+    own, done = [*keys, "point_id", "node"], []
+    sure, maybe = _reach(eps)
+    left = ws.table(left, "left")
+    for level in range(LEVELS + 1):
+        if left.isEmpty():
+            break
+        cell = lambda v, s=size: F.floor(F.col(v) / s)
+        plain = (F.col("m") <= FEW) | (F.greatest(F.abs("x"), F.abs("y")) >= far) | F.lit(level == LEVELS)
+        places = spots.select(*keys, "node", cell("x").alias("bi"), cell("y").alias("bj"), *(F.col(c[0]).alias(c) for c in ("x0", "x1", "y0", "y1")))
+        found = ws.table(left.where(plain).join(places, [*keys, "node", "bi", "bj"]).where(sure).select(*own).distinct(), "listed")
+        size /= 2
+        parts = _boxes(spots, keys, size).withColumns({"bi": F.shiftright("i", 1), "bj": F.shiftright("j", 1)})
+        halves = left.where(~plain).drop("m").join(found, own, "left_anti").join(parts, [*keys, "node", "bi", "bj"]).where(maybe)
+        halves = ws.table(halves.select(*own, "x", "y", F.col("i").alias("bi"), F.col("j").alias("bj"), "m", sure.alias("sure")), "halves")
+        inside = ws.table(halves.where("sure").select(*own).distinct(), "inside")
+        done += [found, inside]
+        left = ws.table(halves.where("not sure").drop("sure").join(inside, own, "left_anti"), "left")
+    out = left.select(*own).limit(0)
+    for part in done:
+        out = out.union(part)
+    return out.distinct()
 
 
 def guard(candidates: DataFrame, points: DataFrame, keys: list[str], min_pts: int, share: float) -> DataFrame:

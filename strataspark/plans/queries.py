@@ -185,9 +185,10 @@ def voxel_downsample_3d(spark, sf_dir):
 
 def cluster_expansion(spark, sf_dir):
     """Candidates within eps of a voxel that belongs to a clump (here: to the supplier's box)."""
-    pts = _stored(spark, sf_dir)
+    ws = _ws(spark)
+    pts = ws.table(_points(spark, sf_dir).select("point_id", *KEYS, "x", "y", "zi", "classification"), "points")
     members = pts.where("zi between 60 and 400 and classification = 1").withColumn("cluster", F.col("tile_e"))
-    return cluster.expand(members, pts, KEYS, 0.3).select("point_id", "cluster")
+    return cluster.expand(members, pts, KEYS, 0.3, ws).select("point_id", "cluster")
 
 
 # -- tiles -----------------------------------------------------------------------------------------

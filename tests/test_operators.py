@@ -247,3 +247,38 @@ def test_plane_queries_take_all_points(spark, sf_dir):
         want |= {(p, e) for p in own.point_id[(dx * dx + dy * dy <= 0.3 * 0.3).any(1)]}
     got = [(r.point_id, r.cluster) for r in queries.cluster_expansion(spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize(("few", "levels"), [(64, 20), (3, 20), (1, 2)])
+def test_expansion_equals_all_pairs(spark, monkeypatch, few, levels):
+    """Sparse, crowded, repeated, distant and unfinished places, in boxes of any size."""
+    monkeypatch.setattr(cluster, "FEW", few)
+    monkeypatch.setattr(cluster, "LEVELS", levels)
+    rng = np.random.default_rng(few)
+    at = np.concatenate([rng.uniform(-2, 2, (300, 2)), rng.normal(0.2, 0.1, (150, 2)), rng.integers(0, 9, (60, 2)) * 0.3, [[5e6, 5e6], [5e6, 5e6 + 0.2], [np.nan, 0.1], [np.inf, 0.1]]])
+    rows = [(i, float(x), float(y), int(i % 3)) for i, (x, y) in enumerate(at)]
+    frame = spark.createDataFrame(rows, "point_id long, x double, y double, cluster long").withColumns({"tile_e": F.lit(0), "tile_n": F.when(F.col("point_id") % 7 == 0, 1).otherwise(0)})
+    members = frame.where("point_id % 4 = 1 or point_id > 300").withColumn("cluster", F.when(F.col("point_id") != 310, F.col("cluster")))
+    got = [(r.point_id, r.cluster) for r in cluster.expand(members, frame, KEYS, 0.3, Workspace(spark, "t")).collect()]
+    with np.errstate(invalid="ignore"):
+        want = {
+            (p, k) for p, x, y, _ in rows for m, u, v, k in rows
+            if (m % 4 == 1 or m > 300) and m != 310 and (p % 7 == 0) == (m % 7 == 0) and np.float64(x - u) ** 2 + np.float64(y - v) ** 2 <= 0.3 * 0.3
+        }
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_expansion_of_crowds_lists_no_pairs(spark):
+    """20,000 points in reach of 20,000 members, and as many at the edge of it: 8 * 10^8 pairs."""
+    n = 20_000
+    members = spark.range(n).select(F.col("id").alias("point_id"), (F.rand(1) * 0.2).alias("x"), (F.rand(2) * 0.2).alias("y"), F.lit(7).cast("long").alias("cluster"))
+    points = spark.range(2 * n).select(F.col("id").alias("point_id"), (F.rand(3) * 0.2 + F.when(F.col("id") >= n, 0.3).otherwise(0.0)).alias("x"), (F.rand(4) * 0.2).alias("y"))
+    tile = {"tile_e": F.lit(0), "tile_n": F.lit(0)}
+    ws, began = Workspace(spark, "t"), time.time()
+    members, points = ws.table(members.withColumns(tile), "members"), ws.table(points.withColumns(tile), "points")
+    found = cluster.expand(members, points, KEYS, 0.3, ws).agg(F.count("*"), F.sum((F.col("point_id") < n).cast("int"))).first()
+    assert time.time() - began < 60
+    m, p = (np.array([(r.x, r.y) for r in t.orderBy("point_id").collect()]) for t in (members, points))
+    m = m[m[:, 0] > 0.15]  # the others are no nearer to points at the edge by over 0.1
+    edge = sum(bool((((m - q) ** 2).sum(1) <= 0.3 * 0.3).any()) for q in p[n:])
+    assert found[1] == n and found[0] - n == edge
