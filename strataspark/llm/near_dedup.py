@@ -12,7 +12,8 @@ document is paired with the bucket's most central one only; then, where a bucket
 component, its documents outside the bucket's main component are compared with all others, so no
 link that joins two components is lost. Documents of the main component, the bulk of a large group,
 aren't compared with each other; a stray of a large bucket meets those that share one of its rarest
-shingles, of matching length and place.
+shingles, of matching length and place. All pairs must pass an exact bound on how many shingles they
+can share, from their sizes and from ``PARITIES`` (see ``_may_link``), before sketches are fetched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -40,6 +41,10 @@ ROWS, BANDS = 5, 48
 MARGIN = 0.2
 #: Up to this size all pairs of a bucket that holds several components are looked at.
 SMALL_BUCKET = 32
+#: Words of 64 bits that hold, for each of their bits, the parity of the shingles that fall on it.
+PARITIES = 8
+_MARKS = [f"p{i}" for i in range(PARITIES)]
+_MARK_TYPES = "size long, " + ", ".join(f"{c} long" for c in _MARKS)
 
 
 def shingle_sets(column, words: int, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,6 +91,28 @@ def registers(values: np.ndarray, ptr: np.ndarray, m: int = REGISTERS) -> np.nda
     return out
 
 
+def parities(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Words of parity bits for each set; they differ in no more bits than the sets do in values."""
+    out = np.zeros((len(ptr) - 1, PARITIES), _U)
+    full = np.flatnonzero(np.diff(ptr))
+    if len(full):
+        bits, word = _U(1) << (values & _U(63)), (values >> _U(6)) % _U(PARITIES)
+        for i in range(PARITIES):
+            out[full, i] = np.bitwise_xor.reduceat(np.where(word == _U(i), bits, _U(0)), ptr[:-1][full])
+    return out
+
+
+def _may_link(percent: int, a: str = "", b: str = "") -> Column:
+    """False only where sets can't be similar enough, of sizes and parities in columns of these endings.
+
+    Sets differ in |a| + |b| - 2 |a & b| shingles, which at the threshold is (100 - p) / (100 + p) of
+    |a| + |b|. Unknown parities pass.
+    """
+    na, nb = F.col(f"size{a}"), F.col(f"size{b}")
+    apart = sum((F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in _MARKS), F.lit(0))
+    return F.coalesce(((100 + percent) * apart <= (100 - percent) * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)), F.lit(True))
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Similarities of greatest likelihood given the registers and both cardinalities."""
     more, fewer = (a > b).sum(1), (a < b).sum(1)
@@ -120,7 +147,7 @@ def _sketch(words: int):
     def run(batches):
         for batch in batches:
             for lo, hi, values, ptr in shingle_sets(batch.column("text"), words):
-                regs = registers(values, ptr)
+                regs, marks = registers(values, ptr), parities(values, ptr).view(np.int64)
                 sums = [np.concatenate([np.zeros(1, _U), np.cumsum(x)]) for x in (values, tk.mix(values + _U(0x2545F4914F6CDD1D)))]
                 fp = [(x[ptr[1:]] - x[ptr[:-1]]).view(np.int64) for x in sums]
                 yield pa.RecordBatch.from_arrays(
@@ -130,8 +157,9 @@ def _sketch(words: int):
                         pa.array(fp[0]),
                         pa.array(fp[1]),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
+                        *(pa.array(m) for m in marks.T),
                     ],
-                    names=["doc_id", "n_shingles", "fp1", "fp2", "regs"],
+                    names=["doc_id", "n_shingles", "fp1", "fp2", "regs", *_MARKS],
                 )
 
     return run
@@ -142,7 +170,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _band_rows(shared: Sieve | None = None):
-    """(h, doc_id) for each band, of those in ``shared`` if given."""
+    """(h, doc_id) for each band; if ``shared`` is given of those in it only, with size and parities."""
 
     def run(batches):
         bands = _bands(ROWS, BANDS, REGISTERS)
@@ -154,11 +182,12 @@ def _band_rows(shared: Sieve | None = None):
                 h = np.broadcast_to(tags, (len(regs), BANDS)).copy()
                 for r in range(ROWS):
                     h = tk.mix((h + regs[:, bands[:, r]]) * _U(0x9FB21C651E98DF25))
-                h, ids = h.reshape(-1), np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), BANDS)
+                h, row, names = h.reshape(-1), np.repeat(np.arange(len(regs)), BANDS), ["doc_id"]
                 if shared is not None:
                     hit = shared.hits(h)
-                    h, ids = h[hit], ids[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids, pa.int64())], names=["h", "doc_id"])
+                    h, row, names = h[hit], row[hit], ["doc_id", "n", *_MARKS]
+                own = [part.column(c).take(pa.array(row)) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *own], names=["h", *("size" if c == "n" else c for c in names)])
 
     return run
 
@@ -204,7 +233,7 @@ class NearDuplicates:
         ws = Workspace(spark, "near-dedup")
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         sketches = ws.table(
-            docs.mapInArrow(_sketch(self.words), "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary"), "sketches"
+            docs.mapInArrow(_sketch(self.words), "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary, " + _MARK_TYPES.partition(", ")[2]), "sketches"
         )
         nodes = sketches.where("n_shingles > 0 and doc_id is not null")
         classes = ws.table(nodes.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
@@ -213,7 +242,7 @@ class NearDuplicates:
         reps = ws.table(
             nodes.join(classes.select("fp1", "fp2", F.col("rep").alias("doc_id")), ["fp1", "fp2", "doc_id"], "left_semi")
             .dropDuplicates(["fp1", "fp2", "doc_id"])
-            .select("doc_id", F.col("n_shingles").alias("n"), "regs"),
+            .select("doc_id", F.col("n_shingles").alias("n"), "regs", *_MARKS),
             "representatives",
         )
         links = self._links(docs, reps, ws)
@@ -228,16 +257,18 @@ class NearDuplicates:
         rows = reps.mapInArrow(_band_rows(), schema)
         buckets = rows.groupBy("h").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.count("*").alias("n")).where("p <> q")
         buckets = ws.table(buckets.select("h", "n"), "buckets")
-        shared = reps.mapInArrow(_band_rows(Sieve(buckets.select("h"))), schema)
+        shared = reps.mapInArrow(_band_rows(Sieve(buckets.select("h"))), f"{schema}, {_MARK_TYPES}")
         shared = ws.table(shared.join(buckets, "h"), "shared")
         ids = ws.table(shared.select("doc_id").distinct(), "ids")
         texts = docs.where("doc_id is not null")
         sets = ws.table(texts.mapInArrow(_sets(self.words, Sieve(ids)), "doc_id long, shingles array<long>"), "sets")
         # what shares many large buckets is central to its group and links to most of it
         weights = shared.groupBy("doc_id").agg(F.sum("n").alias("w"))
-        rank = F.struct("w", (-F.col("doc_id")).alias("i"))
+        rank = F.struct("w", (-F.col("doc_id")).alias("i"), "size", *_MARKS)
         pivots = shared.join(weights, "doc_id").groupBy("h").agg(F.max(rank).alias("top"))
-        star = shared.join(pivots, "h").select((-F.col("top.i")).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+        pivots = pivots.select("h", (-F.col("top.i")).alias("a"), *(F.col(f"top.{c}").alias(f"{c}1") for c in ("size", *_MARKS)))
+        star = shared.join(pivots, "h").where((F.col("a") != F.col("doc_id")) & _may_link(self.percent, "1"))
+        star = star.select("a", F.col("doc_id").alias("b")).distinct()
         star = ws.table(self._candidates(star, reps), "star")
         edges = ws.table(self._verify(star, sets), "links")
         comps = components(edges, ws)
@@ -266,20 +297,23 @@ class NearDuplicates:
         larger buckets are joined on rare shingles instead (see ``_rare``), which is exact as well.
         """
         own = comps.withColumnRenamed("node", "doc_id")
-        rows = shared.select("h", "n", "doc_id").join(own, "doc_id", "left").select("h", "n", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        marks = ["size", *_MARKS]
+        rows = shared.join(own, "doc_id", "left").select("h", "n", "doc_id", F.coalesce("component", "doc_id").alias("c"), *marks)
         parts = rows.groupBy("h", "c").count()
         mixed = parts.groupBy("h").agg(F.max(F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         rows = ws.table(rows.join(mixed.select("h", F.col("main.c").alias("main")), "h"), "mixed")
         few = rows.where(F.col("n") <= SMALL_BUCKET)
-        x = few.where("c <> main").select("h", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-        y = few.select("h", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "main")
-        pairs = x.join(y, "h").where("cx <> cy and (cy = main or x < y)").select("x", "y")
-        many = rows.where(F.col("n") > SMALL_BUCKET).groupBy("doc_id").agg(F.max(F.col("c") != F.col("main")).alias("stray"), F.first("c").alias("c"))
+        x = few.where("c <> main").select("h", F.col("doc_id").alias("x"), F.col("c").alias("cx"), *(F.col(c).alias(f"{c}1") for c in marks))
+        y = few.select("h", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "main", *marks)
+        pairs = x.join(y, "h").where("cx <> cy and (cy = main or x < y)").where(_may_link(self.percent, "1")).select("x", "y")
+        # an id with several texts has several parities and is compared whatever they are
+        single = (F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in marks)
+        many = rows.where(F.col("n") > SMALL_BUCKET).groupBy("doc_id").agg(F.max(F.col("c") != F.col("main")).alias("stray"), F.first("c").alias("c"), *single)
         pairs = pairs.union(self._rare(sets, ws.table(many, "many"), ws))
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def _rare(self, sets: DataFrame, many: DataFrame, ws: Workspace) -> DataFrame:
-        """Prefix-filter join of ``many(doc_id, stray, c)``: pairs of different components, one a stray.
+        """Prefix-filter join of ``many(doc_id, stray, c, size, parities)``: pairs of different components, one a stray.
 
         Shingles are ordered from rare to common. A linked pair's first common shingle is so early
         in both that what follows can still hold the overlap needed; the smaller set's prefix is
@@ -293,8 +327,8 @@ class NearDuplicates:
         length = F.floor((100 - p) * F.col("n") / 100).cast("int") + 1
         prefix = ordered.select("doc_id", "n", F.posexplode(F.slice(F.col("order.g"), F.lit(1), length)).alias("i", "g"))
         prefix = ws.table(prefix.join(many, "doc_id"), "prefixes")
-        short = prefix.where((100 + p) * F.col("i") <= (100 - p) * F.col("n")).select("g", *(F.col(x).alias(f"{x}1") for x in ("doc_id", "n", "i", "c", "stray")))
+        short = prefix.where((100 + p) * F.col("i") <= (100 - p) * F.col("n")).select("g", *(F.col(x).alias(f"{x}1") for x in ("doc_id", "n", "i", "c", "stray", "size", *_MARKS)))
         need = 100 + p
         late = (need * (F.col("n1") - F.col("i1")) >= p * (F.col("n1") + F.col("n"))) & (need * (F.col("n") - F.col("i")) >= p * (F.col("n1") + F.col("n")))
-        pairs = short.join(prefix, "g").where("n1 <= n and c1 <> c and (stray1 or stray)").where(late & (100 * F.col("n1") >= p * F.col("n")))
+        pairs = short.join(prefix, "g").where("n1 <= n and c1 <> c and (stray1 or stray)").where(late & (100 * F.col("n1") >= p * F.col("n")) & _may_link(p, "1"))
         return pairs.select(F.col("doc_id1").alias("x"), F.col("doc_id").alias("y"))

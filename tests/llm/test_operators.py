@@ -107,6 +107,39 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == comp
 
 
+@pytest.mark.parametrize("edits", [9, 10])
+def test_strays_of_a_group_list_few_pairs(spark, monkeypatch, edits):
+    """60 near copies and 60 texts too far from all of them: no sketches are fetched for the pairs between."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(120):
+        own = [f"b{k}" for k in range(100)]
+        for k in rng.choice(50, edits if i % 2 else 1, replace=False):
+            own[2 * int(k)] = f"e{i}x{k}"
+        rows.append((i, " ".join(own)))
+    seen, candidates = [], near_dedup.NearDuplicates._candidates
+    monkeypatch.setattr(near_dedup.NearDuplicates, "_candidates", lambda self, pairs, reps: [seen.append(pairs.count()), candidates(self, pairs, reps)][1])
+    got = {r.doc_id: r.component_id for r in near_dedup.NearDuplicates(2, 80).run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i % 2 else 0 for i in range(120)}
+    assert seen[1] <= 60  # 671 with 9 edits before parities were compared
+
+
+@pytest.mark.parametrize("size", [5, 9, 45, 180, 900, 9000])
+def test_parities_keep_links(spark, size):
+    """Pairs at exactly 80 per cent pass; those at 60 per cent don't, up to 180 shingles."""
+    rng = np.random.default_rng(size)
+    for passes in (True, False):
+        # equal sets of n with a common part of 8 / 9 (80 per cent) or 3 / 4 (60 per cent)
+        n = 9 * max(size // 9, 1) if passes else 4 * max(size // 4, 1)
+        common = n * 8 // 9 if passes else n * 3 // 4
+        pool = rng.integers(0, 2**63, (200, 2 * n - common)).astype(np.uint64)
+        sets = [pool[:, :n], np.hstack([pool[:, :common], pool[:, n:]])]
+        a, b = (near_dedup.parities(np.concatenate(x), np.arange(201) * n).view(np.int64) for x in sets)
+        names = [f"p{i}{e}" for e in ("", "1") for i in range(near_dedup.PARITIES)]
+        frame = spark.createDataFrame([(n, n, *map(int, x), *map(int, y)) for x, y in zip(a, b, strict=True)], ", ".join(f"{c} long" for c in ("size", "size1", *names)))
+        kept = frame.where(near_dedup._may_link(80, "1")).count()
+        assert kept == 200 if passes else kept < 10 or size > 180
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dedup.NearDuplicates(2, 80).run(odd).collect()))
     assert got == [(0, 0, 0), (0, 1, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (6, 4, 6), (7, 5, 7)]
