@@ -41,6 +41,8 @@ ROWS, BANDS = 5, 48
 MARGIN = 0.2
 #: Up to this size all pairs of a bucket that holds several components are looked at.
 SMALL_BUCKET = 32
+#: Slots of the table that orders shingles from rare to common, as a power of two.
+SLOT_BITS = 22
 #: Words of 64 bits that hold, for each of their bits, the parity of the shingles that fall on it.
 PARITIES = 8
 _MARKS = [f"p{i}" for i in range(PARITIES)]
@@ -216,6 +218,66 @@ def _sets(words: int, wanted: Sieve):
     return run
 
 
+def _slots(bits: int):
+    """(slot, held, strays): documents and strays that hold a shingle of each slot, by task."""
+
+    def run(batches):
+        counts = np.zeros((2, 1 << bits), np.int64)
+        for batch in batches:
+            lists = batch.column("shingles")
+            slot = (lists.flatten().to_numpy().view(_U) & _U((1 << bits) - 1)).astype(np.int64)
+            stray = np.repeat(batch.column("stray").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy())
+            for own, x in zip(counts, (slot, slot[stray]), strict=True):
+                np.add.at(own, x, 1)
+        found = np.flatnonzero(counts[0])
+        for lo in range(0, len(found), 65536):
+            part = found[lo : lo + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, *counts[:, part])], names=["slot", "held", "strays"])
+
+    return run
+
+
+class _Crowds:
+    """For each shingle how many documents hold it times how many of them are strays, broadcast.
+
+    This is what a join of strays and documents on the shingle would compare, and zero where no stray
+    holds it. Shingles of equal low bits share one of at most 2^SLOT_BITS slots (16 MB): the order
+    they give is less sharp then, but an order all the same, so results don't depend on it.
+    """
+
+    def __init__(self, own: DataFrame, ws: Workspace):
+        """``own(shingles, stray)``: a written table."""
+        n = own.agg(F.sum(F.size("shingles"))).first()[0] or 0
+        self.bits = min(max(int(4 * n).bit_length(), 16), SLOT_BITS)
+        slots = own.mapInArrow(_slots(self.bits), "slot long, held long, strays long").groupBy("slot").agg(F.sum("held").alias("held"), F.sum("strays").alias("strays"))
+        counts = ws.table(slots.where("strays > 0").select(F.col("slot").cast("int"), (F.col("held") * F.col("strays")).cast("float").alias("k")), "crowds")
+        found, table = counts.toArrow(), np.zeros(1 << self.bits, np.float32)
+        table[found["slot"].to_numpy()] = found["k"].to_numpy()
+        self.state = own.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        table = np.frombuffer(self.state.value, np.float32)
+        return table[(values & _U((1 << self.bits) - 1)).astype(np.int64)]
+
+
+def _prefixes(percent: int, crowds: _Crowds):
+    """(g, i, n) and the row's other columns for the shingles at the first places i of each set's order that strays may hold."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("shingles")
+            values, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            row, crowd = np.repeat(np.arange(len(n)), n), crowds.of(values.view(_U))
+            order = np.lexsort((values, crowd, row))
+            i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            first = (100 * i <= (100 - percent) * n[row]) & (crowd[order] > 0)
+            row, own = row[first], ("doc_id", "c", "stray", "size", *_MARKS)
+            columns = [pa.array(values[order][first]), pa.array(i[first]), pa.array(n[row]), *(batch.column(c).take(pa.array(row)) for c in own)]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "i", "n", *own])
+
+    return run
+
+
 class NearDuplicates:
     """Components of documents linked by a Jaccard similarity of at least ``percent`` per cent.
 
@@ -315,20 +377,17 @@ class NearDuplicates:
     def _rare(self, sets: DataFrame, many: DataFrame, ws: Workspace) -> DataFrame:
         """Prefix-filter join of ``many(doc_id, stray, c, size, parities)``: pairs of different components, one a stray.
 
-        Shingles are ordered from rare to common. A linked pair's first common shingle is so early
-        in both that what follows can still hold the overlap needed; the smaller set's prefix is
-        1 + (100 - p) / (100 + p) of it, the larger one's 1 + (100 - p) / 100.
+        Shingles are ordered from rare to common (see ``_Crowds``). A linked pair's first common
+        shingle is so early in both that what follows can still hold the overlap needed; the smaller
+        set's prefix is 1 + (100 - p) / (100 + p) of it, the larger one's 1 + (100 - p) / 100.
         """
-        p = self.percent
-        own = sets.join(many.select("doc_id"), "doc_id", "left_semi")
-        each = own.select("doc_id", F.xxhash64("shingles").alias("key"), F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
-        df = each.groupBy("g").agg(F.count("*").alias("df"))
-        ordered = each.join(df, "g").groupBy("doc_id", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
-        length = F.floor((100 - p) * F.col("n") / 100).cast("int") + 1
-        prefix = ordered.select("doc_id", "n", F.posexplode(F.slice(F.col("order.g"), F.lit(1), length)).alias("i", "g"))
-        prefix = ws.table(prefix.join(many, "doc_id"), "prefixes")
-        short = prefix.where((100 + p) * F.col("i") <= (100 - p) * F.col("n")).select("g", *(F.col(x).alias(f"{x}1") for x in ("doc_id", "n", "i", "c", "stray", "size", *_MARKS)))
+        p, held = self.percent, ("doc_id", "n", "i", "c", "stray", "size", *_MARKS)
+        own = ws.table(sets.join(many, "doc_id"), "own")
+        prefix = ws.table(own.mapInArrow(_prefixes(p, _Crowds(own, ws)), f"g long, i long, n long, doc_id long, c long, stray boolean, {_MARK_TYPES}"), "prefixes")
+        short = prefix.where((100 + p) * F.col("i") <= (100 - p) * F.col("n")).select("g", *(F.col(x).alias(f"{x}1") for x in held))
         need = 100 + p
         late = (need * (F.col("n1") - F.col("i1")) >= p * (F.col("n1") + F.col("n"))) & (need * (F.col("n") - F.col("i")) >= p * (F.col("n1") + F.col("n")))
-        pairs = short.join(prefix, "g").where("n1 <= n and c1 <> c and (stray1 or stray)").where(late & (100 * F.col("n1") >= p * F.col("n")) & _may_link(p, "1"))
+        # two joins, as one with "a stray or a stray" as its condition compares all members with each other
+        met = [x.join(y, "g") for x, y in ((short.where("stray1"), prefix), (short.where("not stray1"), prefix.where("stray")))]
+        pairs = met[0].union(met[1].select(met[0].columns)).where("n1 <= n and c1 <> c").where(late & (100 * F.col("n1") >= p * F.col("n")) & _may_link(p, "1"))
         return pairs.select(F.col("doc_id1").alias("x"), F.col("doc_id").alias("y"))
